@@ -164,8 +164,8 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     n = len(x) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # The low bits give way to the place, so that equal values keep the first and one minimum yields both.
-    bits = np.uint64(max(int(len(x)).bit_length(), 1))
+    # The low half gives way to the place, so that equal values keep the first and one minimum yields both.
+    bits = np.uint64(32)
     key = ((x >> bits) << bits) | np.arange(len(x), dtype=np.uint64)
     pad = np.full(-len(key) % w, np.iinfo(np.uint64).max, np.uint64)
     rows = np.concatenate([key, pad]).reshape(-1, w)
