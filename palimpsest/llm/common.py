@@ -125,13 +125,14 @@ def spans(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * powers(len(pre))[1][start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words as [start, end) and, for each row, where its words begin in those arrays (one entry more than rows)."""
+def words(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes that are not breaks) as [start, end) and, for each row, where its words begin in those arrays
+    (one entry more than rows)."""
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     space = np.ones(n + 2, bool)
-    space[1:-1] = SPACE[data]
+    space[1:-1] = breaks[data]
     word = ~space[1:-1]
     start = np.flatnonzero(word & (space[:-2] | edge[:-1]))
     end = np.flatnonzero(word & (space[2:] | edge[1:])) + 1

@@ -194,10 +194,28 @@ def _confirmed(shingle: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents are linked when 100 * intersection >= percent * union of their
+    """See `judged`, whose th this leaves out."""
+    return judged(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates: the rows of docs, with all columns, that are kept; of repeated
+    rows (doc_id and text the same) one stays. Rows without a doc_id stay."""
+    keys = ["doc_id", "th"]
+    odd_ones = judged(docs, shingle, percent).where("doc_id is not null").groupBy(*keys).agg(F.count("*").alias("__rows"), F.first("kept").alias("__kept"))
+    odd_ones = written(odd_ones.where("not __kept or __rows > 1"), "decisions")
+    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    odd_ones = odd_ones.toDF("__id", "__th", "__rows", "__kept")
+    most = own.join(odd_ones, ["__id", "__th"], "left_anti")
+    again = own.join(odd_ones.where("__kept"), ["__id", "__th"]).dropDuplicates(["__id", "__th"])
+    return most.select(docs.columns).union(again.select(docs.columns))
+
+
+def judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, kept: documents are linked when 100 * intersection >= percent * union of their
     shingle sets; component_id is the least doc_id reachable and kept says that it is the document's own.
 
-    Texts are lower-cased (A-Z) and split at ASCII white space; a set holds the distinct shingles of `shingle` words,
+    th is xxhash64 of the text. Texts are lower-cased (A-Z) and split at ASCII white space; a set holds the distinct shingles of `shingle` words,
     or the whole sequence if it is shorter. Null, empty and blank texts have an empty set and no links. Rows without a
     doc_id are linked to nothing: their component_id is null and they are kept. Repeated rows have one result each,
     the same; rows that share a doc_id but not the text are judged by their texts. Other columns are ignored. Every
@@ -223,9 +241,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = full.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "id").mapInArrow(_confirmed(shingle, percent), "u long, v long")
     roots = connected(links)
     ids = classes.join(roots, classes.least == roots.node, "left").select("f1", "f2", "n", F.coalesce("component", "least").alias("component"))
-    out = made.select("id", "n", "f1", "f2").join(ids, ["f1", "f2", "n"], "left")
+    out = made.select("id", "th", "n", "f1", "f2").join(ids, ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    return out.select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 

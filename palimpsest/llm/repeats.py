@@ -2,10 +2,11 @@
 
 A string of the length asked for is found through an anchor: the place in it where the hash of a short string is least.
 Equal strings have equal anchors at equal places, so only suffixes that start at anchors found more than once need to be
-sorted. All occurrences of one anchor meet; their suffixes are sorted with their common prefixes, a stack scan gives the
-intervals of the common-prefix tree, and within an interval the texts before the anchors, sorted backwards, tell how far
-its members agree to the left and where they part (a repeat is maximal only where they do). That yields each interval's
-repeats with all occurrences, as ranges of starts.
+sorted. What surrounds an occurrence (all strings that have their anchor there) is its context; equal contexts count as
+one, which is combined where they are read. All contexts of one anchor meet; their suffixes are sorted with their common
+prefixes, a stack scan gives the intervals of the common-prefix tree, and within an interval the texts before the
+anchors, sorted backwards, tell how far its members agree to the left and where they part (a repeat is maximal only
+where they do). That yields each interval's repeats with all occurrences, as ranges of starts.
 """
 
 from __future__ import annotations
@@ -15,17 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, powers, prefix, mix, ship, window_min, written
+from .common import chunks, flat, mix, odd, powers, prefix, ship, spans, window_min, written
 from .runs import lists, runs
 from .substrings import covered
 
 #: Bytes of the string hashed for an anchor.
 ANCHOR = 40
-#: Occurrences of one anchor that are sorted together in memory; the strings of a larger group are dealt out by hash.
+#: Contexts of one anchor that are sorted together in memory; the strings of a larger group are dealt out by hash.
 GROUP = 4096
+#: Contexts that a task remembers having sent.
+SEEN = 400_000
 
 
 def _hashes(data: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -57,8 +61,9 @@ def _batch(schema: dict, *cols) -> pa.RecordBatch:
 
 _LONGS = lambda names: {n: pa.int64() for n in names.split()}
 _FOUND = _LONGS("h kind id th")
-_CONTEXT = _LONGS("h id th start left") | {"text": pa.binary()}
-_RANGE = _LONGS("kind h node id th first last w v")
+_CONTEXT = _LONGS("h c1 c2 left size multi") | {"text": pa.binary()}
+_PLACES = _LONGS("c1 c2 id th") | {"starts": pa.list_(pa.int64())}
+_RANGE = _LONGS("kind h node c1 c2 first last w v")
 
 
 def _level(text: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -92,28 +97,71 @@ def _level(text: DataFrame, length: int, anchor: int) -> DataFrame:
     return found.groupBy("id", "th").agg(anchors, F.max("kind").alias("copies"))
 
 
-def _contexts(text: DataFrame, level: DataFrame, length: int, anchor: int) -> DataFrame:
-    """One row for each occurrence of an anchor that is found elsewhere too, with all strings that have it."""
+def _found(b: pa.RecordBatch, length: int, anchor: int):
+    """A chunk's bytes, and of its anchors that are found elsewhere too: row, hash, context's start in its text, start
+    and end in the bytes, bytes before the anchor, and the context's 128-bit hash."""
+    data, off = flat(b.column("text"))
+    row, at, s0, s1 = _anchors(data, off, length, anchor)
+    if not len(row):
+        return data, *[np.zeros(0, np.int64)] * 8
+    h = _hashes(data, anchor, 13)[at].view(np.int64)
+    got, cut = lists(b.column("anchors"))
+    own = np.searchsorted(row, np.arange(b.num_rows + 1))
+    keep = np.zeros(len(row), bool)
+    for r in range(b.num_rows):
+        keep[own[r] : own[r + 1]] = np.isin(h[own[r] : own[r + 1]], got[cut[r] : cut[r + 1]])
+    row, at, s0, end, h = (x[keep] for x in (row, at, s0, s1 + length, h))
+    left = at - s0
+    c1, c2 = (mix(spans(prefix(data, seed), s0, end) + left.astype(np.uint64) * odd(1, seed)[0]).view(np.int64) for seed in (11, 13))
+    return data, row, h, s0 - off[row], s0, end, left, c1, c2
+
+
+def _contexts(wanted: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Contexts of anchors that are found elsewhere too: one row for each different one that a task meets, a second
+    without the text if it meets it again (multi: more than one occurrence is known)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
         for b in chunks(batches):
-            data, off = flat(b.column("text"))
-            raw, id_, th = data.tobytes(), b.column("id").to_numpy(), b.column("th").to_numpy()
-            row, at, s0, s1 = _anchors(data, off, length, anchor)
-            if not len(row):
+            data, _, h, _, s0, end, left, c1, c2 = _found(b, length, anchor)
+            if not len(h):
                 continue
-            h = _hashes(data, anchor, 13)[at].view(np.int64)
-            got, cut = lists(b.column("anchors"))
-            own = np.searchsorted(row, np.arange(b.num_rows + 1))
-            keep = np.zeros(len(row), bool)
-            for r in range(b.num_rows):
-                keep[own[r] : own[r + 1]] = np.isin(h[own[r] : own[r + 1]], got[cut[r] : cut[r + 1]])
-            row, at, s0, s1, h = (x[keep] for x in (row, at, s0, s1, h))
-            texts = [raw[i : j + length] for i, j in zip(s0.tolist(), s1.tolist())]
-            yield _batch(_CONTEXT, h, id_[row], th[row], s0 - off[row], at - s0, texts)
+            order = np.lexsort((c2, c1))
+            new = np.concatenate([[True], (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1])])
+            count = np.diff(np.append(np.flatnonzero(new), len(order))).tolist()
+            at, again, texts, raw = [], [], [], data.tobytes()
+            for i, n, key in zip(order[new].tolist(), count, zip(c1[order][new].tolist(), c2[order][new].tolist())):
+                known = seen.get(key, 0)
+                if known < 2:
+                    at.append(i)
+                    again.append(int(known + n > 1))
+                    texts.append(None if known else raw[s0[i] : end[i]])
+                    seen[key] = min(known + n, 2)
+            if len(seen) > SEEN:
+                seen.clear()
+            at = np.array(at, np.int64)
+            yield _batch(_CONTEXT, h[at], c1[at], c2[at], left[at], (end - s0)[at], again, texts)
+
+    return wanted.mapInArrow(run, "h long, c1 long, c2 long, left long, size long, multi long, text binary")
+
+
+def _places(wanted: DataFrame, length: int, anchor: int) -> DataFrame:
+    """Where each document has each context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            _, row, _, start, _, _, _, c1, c2 = _found(b, length, anchor)
+            order = np.lexsort((start, c2, c1, row))
+            row, start, c1, c2 = (x[order] for x in (row, start, c1, c2))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+            cut = np.append(np.flatnonzero(new), len(row)).astype(np.int32)
+            starts = pa.ListArray.from_arrays(pa.array(cut), pa.array(start.astype(np.int64)))
+            row = row[new]
+            cols = [pa.array(c1[new]), pa.array(c2[new]), b.column("id").take(pa.array(row)), b.column("th").take(pa.array(row)), starts]
+            yield pa.RecordBatch.from_arrays(cols, names=list(_PLACES))
 
-    wanted = level.where("copies < 2").where(F.size("anchors") > 0)
-    return text.join(wanted, ["id", "th"]).mapInArrow(run, "h long, id long, th long, start long, left long, text binary")
+    return wanted.mapInArrow(run, "c1 long, c2 long, id long, th long, starts array<long>")
 
 
 def intervals(lcp: list[int], lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
@@ -182,114 +230,133 @@ def repeats(group: np.ndarray, left: list[int], texts: list[bytes], length: int)
                     yield node, x, left[x] - high, left[x] - low
 
 
+def _once(t: pa.Table) -> pa.Table:
+    """Of contexts sorted by h, c1 and c2, each once; multi if it came more than once."""
+    c1, c2 = t.column("c1").to_numpy(), t.column("c2").to_numpy()
+    new = np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+    if new.all():
+        return t
+    first = np.flatnonzero(new)
+    multi = np.maximum(np.maximum.reduceat(t.column("multi").to_numpy(), first), (np.diff(np.append(first, len(new))) > 1).astype(np.int64))
+    has = t.column("text").is_valid().to_numpy()
+    best = np.maximum.reduceat(np.where(has, np.arange(len(new)), -1), first)  # a row with the text
+    t = t.take(pa.array(np.where(best < 0, first, best)))
+    return t.set_column(t.schema.get_field_index("multi"), "multi", pa.array(multi))
+
+
 def _grouped(length: int):
-    def ranges(t: pa.Table) -> pa.RecordBatch:
-        h = t.column("h").to_numpy()
+    def whole(t: pa.Table) -> pa.RecordBatch:
+        """Contexts with several occurrences: every string of theirs is repeated."""
+        t = t.filter(pa.compute.equal(t.column("multi"), 1))
+        zero = np.zeros(t.num_rows, np.int64)
+        h, c1, c2, size = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "size"))
+        return _batch(_RANGE, zero, h, zero, c1, c2, zero, size - length, zero, zero)
+
+    def ranges(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield whole(t)
+        h, c1, c2, multi = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "multi"))
         group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-        start, id_, th = (t.column(c).to_numpy() for c in ("start", "id", "th"))
         got = np.array(list(repeats(group, t.column("left").to_pylist(), t.column("text").to_pylist(), length)), np.int64).reshape(-1, 4)
+        got = got[multi[got[:, 1]] == 0]
         x, zero = got[:, 1], np.zeros(len(got), np.int64)
-        return _batch(_RANGE, zero, h[x], got[:, 0], id_[x], th[x], start[x] + got[:, 2], start[x] + got[:, 3], zero, zero)
+        yield _batch(_RANGE, zero, h[x], got[:, 0], c1[x], c2[x], got[:, 2], got[:, 3], zero, zero)
 
     def strings(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        for b in t.to_batches(max_chunksize=2048):
+        yield whole(t)
+        for b in t.filter(t.column("text").is_valid()).to_batches(max_chunksize=2048):
             data, off = flat(b.column("text"))
             row = np.repeat(np.arange(b.num_rows), np.diff(off))[: max(len(data) - length + 1, 0)]
             ok = np.arange(len(row)) + length <= off[1:][row]
             at, row = np.flatnonzero(ok), row[ok]
             w, v = (_hashes(data, length, seed)[at].view(np.int64) for seed in (11, 13))
-            start = b.column("start").to_numpy()[row] + at - off[row]
-            one = np.ones(len(at), np.int64)
-            yield _batch(_RANGE, one, b.column("h").to_numpy()[row], one, b.column("id").to_numpy()[row], b.column("th").to_numpy()[row], start, start, w, v)
+            one, start = np.ones(len(at), np.int64), at - off[row]
+            yield _batch(_RANGE, one, *(b.column(c).to_numpy()[row] if c else one for c in ("h", None, "c1", "c2")), start, start, w, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, large = 0, None  # large: the anchor whose strings are dealt out by hash
+        held: pa.Table | None = None
+        large = None  # the anchor whose strings are dealt out by hash
         for b in batches:
-            if large is not None and b.num_rows:
-                own = int((b.column("h").to_numpy() == large).sum())
-                if own:
-                    yield from strings(pa.Table.from_batches([b.slice(0, own)]))
-                    b = b.slice(own)
             for at in range(0, b.num_rows, GROUP):
-                part = b.slice(at, GROUP)
-                held.append(part)
-                rows += part.num_rows
-                if rows < 2 * GROUP:
-                    continue
-                t = pa.Table.from_batches(held)
-                h = t.column("h").to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-                if cut:
-                    yield ranges(t.slice(0, cut))
-                t = t.slice(cut)
-                if t.num_rows > GROUP or large == h[-1]:
-                    large = h[-1]
-                    yield from strings(t)
-                    t = t.slice(t.num_rows)
-                held, rows = t.to_batches(), t.num_rows
-        if rows:
-            t = pa.Table.from_batches(held)
-            if large is not None:
+                t = pa.Table.from_batches([b.slice(at, GROUP)])
+                t = _once(t if held is None else pa.concat_tables([held, t]))
                 h = t.column("h").to_numpy()
-                own = int((h == large).sum())
-                yield from strings(t.slice(0, own))
-                t = t.slice(own)
-            if t.num_rows:
-                yield ranges(t)
+                own = int((h == large).sum()) if large is not None else 0
+                if own:
+                    yield from strings(t.slice(0, own))
+                    t, h = t.slice(own), h[own:]
+                if t.num_rows >= 2 * GROUP:
+                    cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+                    if cut:
+                        yield from ranges(t.slice(0, cut))
+                    t = t.slice(cut)
+                    if t.num_rows > GROUP:
+                        large = h[-1]
+                        yield from strings(t)
+                        t = t.slice(t.num_rows)
+                held = t if t.num_rows else None
+        if held is not None:
+            yield from ranges(held)
 
     return run
 
 
-def repeat_groups(docs: DataFrame, length: int = 200, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """Two tables: repeats with all occurrences (h and node name the group; id and th the document; first and last the
-    range of byte starts), and per document (id, th) whether it has copies (1: it stands for them, 2: it is one).
+def repeat_groups(docs: DataFrame, length: int = 200, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: repeats (h and node name the group, c1 and c2 the context, first and last the range of byte starts
+    in it), all occurrences of contexts (c1, c2, id, th, starts in the document), and per document (id, th) whether it
+    has copies (1: it stands for them, 2: it is one; occurrences are given for the one that stands for them alone).
 
-    th is xxhash64 of the text; id is the doc_id, a null one being the largest long. Occurrences of copies are given
-    for the one that stands for them alone.
+    th is xxhash64 of the text; id is the doc_id, a null one being the largest long.
     """
     text = _keyed(docs)
     level = written(_level(text, length, anchor), "anchors")
-    contexts = _contexts(text, level, length, anchor)
-    schema = "kind long, h long, node long, id long, th long, first long, last long, w long, v long"
-    found = written(contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_grouped(length), schema), "ranges")
+    wanted = text.join(level.where("copies < 2").where(F.size("anchors") > 0), ["id", "th"])
+    schema = "kind long, h long, node long, c1 long, c2 long, first long, last long, w long, v long"
+    met = _contexts(wanted, length, anchor).repartition("h").sortWithinPartitions("h", "c1", "c2")
+    found = written(met.mapInArrow(_grouped(length), schema), "ranges")
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, _, again in runs(batches, ["w", "v"], "id"):
+        for cols, _, again in runs(batches, ["w", "v"], "c1"):
             yield _batch(_RANGE, *(cols[k][again] for k in _RANGE))
 
     large = found.where("kind = 1").repartition("w", "v").sortWithinPartitions("w", "v").mapInArrow(twice, schema)
-    groups = found.where("kind = 0").union(large).select("h", "node", "id", "th", "first", "last")
-    return groups, level.where("copies > 0").select("id", "th", "copies")
+    groups = found.where("kind = 0").union(large).select("h", "node", "c1", "c2", "first", "last")
+    return groups, _places(wanted, length, anchor), level.where("copies > 0").select("id", "th", "copies")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col("text").cast("string")).withColumn(
-        "th", F.xxhash64(F.coalesce("text", F.lit("")))
-    )
+def _keyed(docs: DataFrame, *keep) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), *keep)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, text (binary), n_bytes, n_removed, n_spans: each text, as UTF-8 bytes, without the bytes covered by a
-    string of `length` bytes that also starts anywhere else, in the same document or another; n_spans counts maximal
-    removed runs.
+def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = ANCHOR, whole_characters: bool = False) -> DataFrame:
+    """All columns of docs, text as binary, then n_bytes, n_removed, n_spans: each text, as UTF-8 bytes, without the
+    bytes covered by a string of `length` bytes that also starts anywhere else, in the same document or another;
+    n_spans counts maximal removed runs.
 
     Overlapping occurrences count; strings are judged on the input, not on what is left. Null and empty texts have no
     bytes. Null doc_ids stay null; every row is a document of its own, so a repeated row removes all of its text if it
-    is long enough. What is left may begin or end inside a character, hence the binary column. Other columns are
-    ignored.
+    is long enough. What is left may begin or end inside a character, hence the binary column; with whole_characters, a
+    character of which a byte goes goes as a whole, and text is a string. Columns of docs with the names of new ones are
+    replaced.
     """
     if not 0 < anchor < length:
         raise ValueError("the anchor must be shorter than the string")
     ship(docs.sparkSession)
-    groups, copies = repeat_groups(docs, length, anchor)
-    spans = groups.groupBy("id", "th").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    known = spans.join(copies, ["id", "th"], "full")
+    new = ("n_bytes", "n_removed", "n_spans")
+    docs = docs.drop(*new)
+    groups, places, copies = repeat_groups(docs, length, anchor)
+    per = groups.groupBy("c1", "c2").agg(F.collect_list("first").alias("f"), F.collect_list("last").alias("l"))
+    moved = lambda c: F.flatten(F.transform("starts", lambda s: F.transform(c, lambda x: x + s)))
+    met = places.join(per, ["c1", "c2"]).select("id", "th", moved("f").alias("f"), moved("l").alias("l"))
+    spans_ = met.groupBy("id", "th").agg(F.flatten(F.collect_list("f")).alias("first"), F.flatten(F.collect_list("l")).alias("last"))
+    known = spans_.join(copies, ["id", "th"], "full")
+    kind = "string" if whole_characters else "binary"
+    fields = [(f.name, kind if f.name == "text" else f.dataType.simpleString()) for f in docs.schema.fields]
+    kinds = {"text": pa.string() if whole_characters else pa.binary()} | _LONGS("n_bytes n_removed n_spans")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            texts, ids = b.column("text").cast(pa.binary()).to_pylist(), b.column("id").to_pylist()
-            copies = b.column("copies").to_pylist()
+            texts, copies = b.column("text").cast(pa.binary()).to_pylist(), b.column("copies").to_pylist()
             (first, off), (last, _) = lists(b.column("first")), lists(b.column("last"))
             out: list[tuple] = []
             for r, raw in enumerate(texts):
@@ -301,13 +368,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = ANCHOR) ->
                     d = np.zeros(n + 1, np.int64)
                     np.add.at(d, first[off[r] : off[r + 1]], 1)
                     np.add.at(d, last[off[r] : off[r + 1]] + length, -1)
-                    gone = np.cumsum(d[:n]) > 0
-                    left, removed = np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum())
+                    gone, raw = np.cumsum(d[:n]) > 0, np.frombuffer(raw, np.uint8)
+                    if whole_characters:
+                        character = np.cumsum((raw & 0xC0) != 0x80)
+                        gone = (np.bincount(character, gone) > 0)[character]
+                    left, removed = raw[~gone].tobytes(), int(gone.sum())
                     runs_ = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((None if ids[r] == (1 << 63) - 1 else ids[r], left, n, removed, runs_))
-            yield _batch({"doc_id": pa.int64(), "text": pa.binary()} | _LONGS("n_bytes n_removed n_spans"), *zip(*out))
-
-    return _keyed(docs).join(known, ["id", "th"], "left").mapInArrow(kept, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long")
+                out.append((left.decode(errors="ignore") if whole_characters else left, n, removed, runs_))
+            made = dict(zip(kinds, (pa.array(c, t) for c, t in zip(zip(*out), kinds.values()))))
+            cols = {name: made["text"] if name == "text" else b.column(f"c{k}") for k, (name, _) in enumerate(fields)} | {n: made[n] for n in new}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    keep = [F.col(f"`{name}`").alias(f"c{k}") for k, (name, _) in enumerate(fields) if name != "text"]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in [*fields, *((n, "long") for n in new)])
+    return _keyed(docs, *keep).join(known, ["id", "th"], "left").mapInArrow(kept, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:
