@@ -123,7 +123,7 @@ class Index:
 def build(vectors: DataFrame, k: int, list_size: int = 256, sample: int = 32768, closure: float = 1.15, copies: int = 6) -> Index:
     """An index for up to k neighbours. Centroids are fitted on at most `sample` vectors, chosen by a hash of the id;
     every vector is indexed, in up to `copies` lists whose centroids are within `closure` times the distance of its
-    nearest one and not nearer to a list already chosen than to the vector."""
+    nearest one."""
     spark = ship(vectors.sparkSession)
     widths = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     width, total = (widths.w, widths["count"]) if widths else (0, 0)
@@ -149,11 +149,8 @@ def build(vectors: DataFrame, k: int, list_size: int = 256, sample: int = 32768,
             v = _vectors(b.column("v"), width)
             lists, rows = [], []
             for r, q in enumerate(v):
-                i, d = c.search(q, copies * 3, 32)
-                chosen: list[int] = []
-                for j in np.flatnonzero(d <= closure**2 * d[0] + 1e-30).tolist():
-                    if len(chosen) < copies and all(((c.at[i[j]] - c.at[o]) ** 2).sum() > 0.5 * d[j] for o in chosen):
-                        chosen.append(int(i[j]))
+                i, d = c.search(q, copies, 32)
+                chosen = i[d <= closure**2 * d[0] + 1e-30].tolist()
                 lists += chosen
                 rows += [r] * len(chosen)
             take = pa.array(rows, pa.int64())
@@ -165,10 +162,10 @@ def build(vectors: DataFrame, k: int, list_size: int = 256, sample: int = 32768,
     return Index(centroids, lists.join(F.broadcast(blocks), "list"), blocks, classes, vectors, width, k)
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int = 48, ratio: float = 1.6) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, probes: int = 48, ratio: float = 1.6, least: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, v), itself left out, by Euclidean
-    distance in double precision; ties go to the smaller vec_id. At most `probes` lists are read, those whose centroid
-    is within `ratio` times the distance of the nearest."""
+    distance in double precision; ties go to the smaller vec_id. The `least` nearest lists are read, and of the next ones,
+    up to `probes`, those whose centroid is within `ratio` times the distance of the nearest."""
     if k > index.k:
         raise ValueError("the index was built for fewer neighbours")
     spark, width = queries.sparkSession, index.width
@@ -183,7 +180,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 48, ratio: fl
             lists, rows = [], []
             for r, q in enumerate(v):
                 i, d = c.search(q, probes, 2 * probes)
-                own = i[d <= ratio**2 * d[0] + 1e-30].tolist()
+                own = i[(d <= ratio**2 * d[0] + 1e-30) | (np.arange(len(d)) < least)].tolist()
                 lists += own
                 rows += [r] * len(own)
             take = pa.array(rows, pa.int64())

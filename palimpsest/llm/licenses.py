@@ -102,7 +102,8 @@ class Templates:
                     there = np.flatnonzero(np.isin(own, self.sets[k]))
                     share = len(np.unique(own[there])) / len(self.sets[k])
                     if share >= self.containment - 1e-9:
-                        seen.append((-share, k, at + int(there[0]), at + int(there[-1])))
+                        first, last = densest(there, len(self.sets[k]))
+                        seen.append((-share, k, at + first, at + last))
             taken: list[tuple] = []
             for share, k, i, j in sorted(set(seen)):
                 if all(k != o or j < a or i > b for o, a, b in taken):
@@ -110,6 +111,13 @@ class Templates:
                     yield k, i, j - i + self.shingle, -share
 
 
+def densest(there: np.ndarray, n: int) -> tuple[int, int]:
+    """First and last of the places that lie within n of each other, where most do."""
+    end = np.searchsorted(there, there + n)
+    k = int(np.argmax(end - np.arange(len(there))))
+    return int(there[k]), int(there[end[k] - 1])
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = 5, containment: float = 0.8) -> DataFrame:
     """doc_id, license, word (where it begins), words (how many it spans), containment: every place of a document where
     a window holds at least a share `containment` of a template's word shingles.

@@ -64,36 +64,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -60, 60)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 60, rate: float = 0.2, decay: float = 1e-6) -> Model:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 250, rate: float = 0.2, decay: float = 1e-6, z: float = 5.0) -> Model:
     """Embeddings and softmax by Adam, on whole-sample gradients of the cross entropy; classes weigh the same.
 
-    bags: buckets of each text, and how often each occurs. Without two classes the score is one half for all texts.
+    Only buckets that the two classes' texts have with different frequency (by `z` standard errors) get an embedding;
+    the others stay zero, or chance would be learned by heart. bags: buckets of each text, and how often each occurs.
+    Without two classes the score is one half for all texts.
     """
     table = np.zeros(1 << BITS, np.float32)
     if len(np.unique(y)) < 2:
         return Model(table, 0.0)
-    size = np.array([len(b) for b, _ in bags])
-    used, col = np.unique(np.concatenate([b for b, _ in bags]), return_inverse=True)
-    doc = np.repeat(np.arange(len(bags)), size)
-    val = np.concatenate([c / c.sum() for _, c in bags]).astype(np.float64)
+    bucket = np.concatenate([b for b, _ in bags])
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b, _ in bags])
+    val = np.concatenate([c / c.sum() for _, c in bags])
+    n = np.bincount(y, minlength=2)
+    there = [np.bincount(bucket[y[doc] == k], minlength=1 << BITS) for k in (0, 1)]
+    share = (there[0] + there[1]) / len(y)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
+    keep = (np.abs(there[1] / n[1] - there[0] / n[0]) >= z * error)[bucket]
+    used, col = np.unique(bucket[keep], return_inverse=True)
+    doc, val = doc[keep], val[keep]
     rng = np.random.default_rng(7)
     params = [np.zeros((DIM, len(used))), rng.normal(0, 1, (DIM, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    target = np.eye(2)[y]
-    weight = (len(y) / 2 / np.bincount(y, minlength=2))[y][:, None] / len(y)
+    target, weight = np.eye(2)[y], (len(y) / 2 / n)[y][:, None] / len(y)
     for step in range(1, epochs + 1):
         emb, soft, bias = params
         hidden = np.stack([np.bincount(doc, emb[d][col] * val, len(bags)) for d in range(DIM)], 1)
-        z = hidden @ soft + bias
-        p = np.exp(z - z.max(1, keepdims=True))
+        logits = hidden @ soft + bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         dz = (p - target) * weight
         dh = dz @ soft.T
         grads = [np.stack([np.bincount(col, dh[doc, d] * val, len(used)) for d in range(DIM)]) + decay * emb, hidden.T @ dz, dz.sum(0)]
-        for p_, g, (m, v) in zip(params, grads, moments):
+        for q, g, (m, v) in zip(params, grads, moments):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+            q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
     emb, soft, bias = params
     table[used] = (soft[:, 1] - soft[:, 0]) @ emb
     return Model(table, float(bias[1] - bias[0]))
@@ -104,7 +111,7 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 1600) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     """A model from at most `most` labelled rows that are not held out, as many of either class where there are, chosen
     by a hash of the doc_id. Their bags, of bounded size each, come to the driver."""
     rated = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("toxic in (0, 1)").where(~fold(F.col("doc_id"))).dropDuplicates()
