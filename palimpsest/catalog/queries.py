@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import relational, temporal
 
-def flagship(spark: SparkSession, sf_dir: str, seq: int) -> DataFrame:
-    raise NotImplementedError
+flagship = temporal.flagship
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = {}
+    for name, sql in relational.QUERIES.items():
+        text = sql if isinstance(sql, str) else sql[0]
+        found[name] = lambda spark, sf_dir, text=text: relational.run(spark, sf_dir, text)
+    return found | {name: q for name, (q, _) in temporal.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: sql if isinstance(sql, str) else sql[1] for name, sql in relational.QUERIES.items()}
+    return found | {name: sql for name, (_, sql) in temporal.QUERIES.items() if sql}
