@@ -26,6 +26,8 @@ BREAK = SPACE.copy()
 BREAK[:128] |= np.array([not chr(c).isalnum() for c in range(128)])
 #: Bytes of test items in one index, which every executor holds; more items are searched shard by shard.
 SHARD = 16 << 20
+#: Ranges of items for which every passage's scores are bounded at once, before any list is walked.
+BOUNDS = 64
 _SCHEMA = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double, overlap double"
 
 
@@ -106,7 +108,7 @@ class Index:
             for x, s in zip(at.tolist(), (impact / least).tolist()):
                 per[x].append((k, s))
         self.postings = []
-        self.blocks = max(1, min(64, -(-n // block)))
+        self.blocks = max(1, min(BOUNDS, n))
         self.width = max(1, -(-n // self.blocks))
         self.bounds = np.zeros((len(self.terms), self.blocks), np.float32)
         for x in range(len(self.terms)):
@@ -170,30 +172,32 @@ class Index:
         row = np.repeat(np.arange(len(n)), n)
         segment = seg0[row] + (np.arange(len(h)) - first[row]) // step
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        known = np.flatnonzero(self.terms[at] == h)
-        if not len(known):
-            return
-        bound = np.zeros((seg0[-1] + 1, self.blocks), np.float32)
-        of = segment[known]
-        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        for i in range(0, len(heads), 2048):  # a bounded piece of the sums at a time
-            j = min(i + 2048, len(heads))
-            lo, hi = heads[i], heads[j] if j < len(heads) else len(known)
-            bound[of[heads[i:j]]] = np.add.reduceat(self.bounds[at[known[lo:hi]]], heads[i:j] - lo)
+        known = self.terms[at] == h
         follows = np.zeros(seg0[-1] + 1, bool)  # segments whose next one is of the same row
         follows[:-1] = np.diff(np.repeat(np.arange(len(n)), count), append=-1) == 0
-        both = bound.copy()
-        both[:-1] += np.where(follows[:-1, None], bound[1:], 0)
-        alone = np.ones(seg0[-1] + 1, bool)  # the last segment is part of the passage before, unless there is none
+        # Each passage's different terms, ascending: those of its own segment and of the next.
+        terms, of = at[known], segment[known]
+        second = (of > 0) & follows[of - 1]
+        key = np.concatenate([of, of[second] - 1]) * len(self.terms) + np.concatenate([terms, terms[second]])
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        of, terms = np.divmod(key, len(self.terms))
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+        ends = np.append(heads[1:], len(of))
+        most = np.zeros(len(heads), np.float32)
+        for i in range(0, len(heads), 1024):  # a bounded piece of the sums at a time
+            own = heads[i : i + 1024]
+            lo, hi = own[0], ends[min(i + 1024, len(heads)) - 1]
+            most[i : i + 1024] = np.add.reduceat(self.bounds[terms[lo:hi]], own - lo).max(1)
+        # The last segment is part of the passage before, unless there is none.
+        alone = np.ones(seg0[-1] + 1, bool)
         alone[1:] = ~follows[:-1]
-        for s in np.flatnonzero((both.max(1) >= 0.999) & (follows | alone)).tolist():
-            if s >= seg0[-1]:
-                continue
+        for x in np.flatnonzero((most >= 0.999) & (follows | alone)[of[heads]]).tolist():
+            s = int(of[heads[x]])
             r = int(np.searchsorted(seg0, s, "right")) - 1
             lo = first[r] + (s - seg0[r]) * step
             hi = min(lo + 2 * step, first[r + 1])
-            hit = at[lo:hi][self.terms[at[lo:hi]] == h[lo:hi]]
-            found = self.wand(np.unique(hit).tolist())
+            found = self.wand(terms[heads[x] : ends[x]].tolist())
             if not found:
                 continue
             sizes = {len(self.shingles[k]) for k, _ in found}
