@@ -129,7 +129,7 @@ def build(vectors: DataFrame, k: int, list_size: int = 256, sample: int = 32768,
     width, total = (widths.w, widths["count"]) if widths else (0, 0)
     vectors = vectors.where(F.size("v") == width)
     first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-    x = np.array([r.v for r in first], np.float64).reshape(-1, width)
+    x = np.array([r.v for r in first], np.float64).reshape(len(first), width)
     x = np.unique(x, axis=0) if len(x) else x
     size = max(8, round(list_size * len(x) / max(total, len(x), 1)))
     centroids = Centroids.of(balanced(x, size)) if len(x) else Centroids(np.zeros((0, width)), np.zeros((0, 1), np.int64))
@@ -222,10 +222,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "ve
     """The k nearest others of each vector whose id is divisible by `every`.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those without an id
-    or of another width than most; with fewer than k candidates all are returned. Repeated rows count once; equal
-    vectors have equal scores. An empty table gives no rows. Other columns are ignored.
+    or of another width than most; with fewer than k candidates all are returned. Rows with one id count once, as the
+    least of their vectors; equal vectors have equal scores. An empty table gives no rows. Other columns are ignored.
     """
-    good = usable(vectors, vec_id, embedding)
+    good = usable(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min("v").alias("v"))
     index = build(good, k)
     return search(index, index.vectors.where(F.col("vec_id") % every == 0), k)
 
