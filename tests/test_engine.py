@@ -102,7 +102,7 @@ def test_time_travel(engine):
     engine.sql("DELETE FROM products")
     assert engine.sql("SELECT * FROM products").count() == 0
     assert [r.event_type for r in engine.sql("SELECT * FROM products FOR SYSTEM_TIME ALL ORDER BY sequence").collect()] == ["INSERT", "PATCH", "SOFT_DELETE"]
-    assert engine.sql("SHOW DRIFT products WHERE id = 'prod1'").count() == 3
+    assert engine.sql("SHOW HISTORY products WHERE id = 'prod1'").count() == 3
     assert rows(engine.table("products").diff(1, 2))[0][0] == "changed"
 
 
