@@ -21,6 +21,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FALLBACK: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}  # tables written, by application
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that `written` has made for this application; results that still read them end."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application, so that their Python workers can import it."""
     sc = spark.sparkContext

@@ -92,3 +92,14 @@ def test_runs_across_batches():
     for size in (1, 2, 7, 200):
         got = [(int(a), int(f), bool(g)) for c, first, again in runs.runs(iter(t.to_batches(max_chunksize=size)), ["k"], "v") for a, f, g in zip(c["v"], first, again)]
         assert got == [(i, int(np.flatnonzero(k == k[i])[0]), bool((k == k[i]).sum() > 1)) for i in range(200)]
+
+
+def test_written_tables_can_be_cleared(spark):
+    from palimpsest.llm import common
+
+    df = common.written(spark.range(3), "some")
+    assert df.count() == 3 and df.inputFiles()
+    path = df.inputFiles()[0]
+    common.clear(spark)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
