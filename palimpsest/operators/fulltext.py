@@ -28,7 +28,7 @@ def text_search(index: DataFrame, total: int, query: list[str]) -> DataFrame:
     of all documents over those with the term. Only the query's postings are read."""
     own = index.where(F.col("term").isin(query))
     tf = own.groupBy("term", "doc").agg((F.count(F.lit(1)) / F.first("n_terms")).alias("tf"))
-    df = own.groupBy("term").agg(F.count_distinct("doc").alias("df"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # over the same shuffle, so texts are cut once
     often = F.create_map(*[F.lit(x) for t in sorted(set(query)) for x in (t, query.count(t))])[F.col("term")] if query else F.lit(1)
     weight = often * F.col("tf") * F.log(F.lit(float(total)) / F.col("df"))
     # As many rows as the query has terms: its size is known before it is broadcast.
