@@ -1,14 +1,15 @@
 """License scans: MinHash bands over overlapping text windows find templates, exact shingle containment verifies them.
 
 Windows have twice a template's words and start every half of them, so some window holds all of a stretch as long as the
-template, and is similar enough to it that a band agrees, with a chance the settings guarantee. A band can only agree where its least shingles are the template's own, so windows without a shingle
-of any template have no need of minima.
+template, and is similar enough to it that a band agrees, with a chance the settings guarantee. Windows that hold fewer
+shingles of the templates sought in them than the containment asks for have no need of minima.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, odd, ship
 from .decontam import hashed, short_grams, shingled
 
-#: Notices looked for unless others are given, by the name they are reported under.
+#: Short notices, by the name they are reported under; `defaults` adds license texts and standard headers.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -28,6 +29,13 @@ TEMPLATES = {
 _SCHEMA = "doc_id long, license string, word long, words long, containment double"
 
 
+def defaults() -> dict[str, str]:
+    """Templates looked for unless others are given: the short notices, and the files of license_texts under their
+    names: license texts (-text) and the headers that licenses ask for or that are in use (-header)."""
+    files = resources.files(__package__).joinpath("license_texts").iterdir()
+    return TEMPLATES | {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in files if f.name.endswith(".txt")}
+
+
 def bands_for(similarity: float, rows: int, miss: float) -> int:
     """Bands of `rows` minima that a pair of that similarity escapes with a chance of `miss` at most."""
     return int(np.ceil(np.log(miss) / np.log1p(-(similarity**rows)))) if similarity < 1 else 1
@@ -41,6 +49,8 @@ class _Class:
     step: int
     bands: int
     buckets: dict[tuple[int, int], list[int]]
+    all: np.ndarray  # shingles of its templates
+    least: float  # how many different ones of them a window must hold to match any
 
 
 class Templates:
@@ -56,6 +66,8 @@ class Templates:
                 self.words.append(len(h))
                 self.sets.append(np.unique(shingled(h, shingle)))
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.marks = np.zeros(1 << 20, bool)  # by a hash's first bits, so that few shingles are looked up
+        self.marks[self.all >> np.uint64(44)] = True
         self.short = sorted({n for n in self.words if n < shingle})
         self.classes: list[_Class] = []
         by: dict[int, list[int]] = {}
@@ -68,7 +80,8 @@ class Templates:
             window, step = 2 * n, max(1, n // 2)
             likeness = containment * count / (window - shingle + 1 + (1 - containment) * count)
             bands = bands_for(likeness, rows, miss)
-            c = _Class(window, step, bands, {})
+            least = containment * min(len(self.sets[k]) for k in ks) - 1e-6
+            c = _Class(window, step, bands, {}, np.unique(np.concatenate([self.sets[k] for k in ks])), least)
             for k in ks:
                 for band, key in enumerate(self.keys(self.sets[k], bands)):
                     c.buckets.setdefault((band, int(key)), []).append(k)
@@ -80,6 +93,11 @@ class Templates:
         least = np.array([((s ^ x) * m).min() for m, x in zip(odd(n, 31), odd(n, 32))], np.uint64).reshape(bands, self.rows)
         return mix((least * odd(self.rows, 33)).sum(1, dtype=np.uint64))
 
+    def places(self, s: np.ndarray) -> np.ndarray:
+        """Where shingles are those of a template."""
+        at = np.flatnonzero(self.marks[s >> np.uint64(44)])
+        return at[np.isin(s[at], self.all)]
+
     def search(self, h: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(template, first word, words, containment) in one text's word hashes: of windows that overlap, the best."""
         for n in self.short:
@@ -89,14 +107,17 @@ class Templates:
         if len(h) < self.shingle:
             return
         s = shingled(h, self.shingle)
-        places = np.flatnonzero(np.isin(s, self.all))
-        for c in self.classes if len(places) else ():
+        known = self.places(s)
+        for c in self.classes if len(known) else ():
+            places = known[np.isin(s[known], c.all)]
+            if len(np.unique(s[places])) < c.least:
+                continue
             wide = c.window - self.shingle + 1
             starts = {max(0, (p - b) // c.step * c.step) for p in places.tolist() for b in range(0, wide + c.step, c.step)}
             seen: list[tuple] = []
             for at in sorted(starts):
                 own = s[at : at + wide]
-                if not np.isin(own, self.all).any():
+                if len(np.unique(own[np.isin(own, c.all)])) < c.least:
                     continue
                 for k in {k for band, key in enumerate(self.keys(own, c.bands)) for k in c.buckets.get((band, int(key)), ())}:
                     there = np.flatnonzero(np.isin(own, self.sets[k]))
@@ -127,7 +148,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int
     without templates; repeated rows have rows of their own; null doc_ids are carried. Other columns are ignored.
     """
     spark = ship(docs.sparkSession)
-    made = Templates(TEMPLATES if templates is None else templates, shingle, containment)
+    made = Templates(defaults() if templates is None else templates, shingle, containment)
     held = spark.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +159,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int
                 rows = range(b.num_rows)
             else:  # rows with a template's shingle
                 s = shingled(h, t.shingle) if len(h) >= t.shingle else np.zeros(0, np.uint64)
-                at = np.flatnonzero(np.isin(s, t.all))
+                at = t.places(s)
                 rows = np.unique(np.searchsorted(first, at, "right") - 1).tolist()
             ids = b.column("doc_id")
             out = [(ids[r].as_py(), t.names[k], at, n, share) for r in rows for k, at, n, share in t.search(h[first[r] : first[r + 1]])]

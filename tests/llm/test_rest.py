@@ -54,6 +54,28 @@ def test_licenses(spark):
     assert licenses.scan(_docs(spark, rows), {}).count() == licenses.scan(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_default_templates_hold_license_texts(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+# The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+# THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+# FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+# LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    t = licenses.defaults()
+    assert t.items() >= licenses.TEMPLATES.items() and all(f"{x}-text" in t for x in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"))
+    names = sorted(t)
+    rows = [(k, f"words before it {t[x]} and behind " * 2) for k, x in enumerate(names)]
+    rows += [(500, f"# {mit}"), (501, " ".join(mit.split()[:70])), (502, "the software and the use of this software in the public domain " * 30), (503, "x = 1\n" * 400 + t["GPL-2.0-header"].upper())]
+    got = licenses.scan(_docs(spark, rows)).collect()
+    for k, x in enumerate(names):
+        assert sum(r.doc_id == k and r.license == x and r.containment == 1 for r in got) == 2, x
+    assert [r.license for r in got if r.doc_id == 500] == ["MIT-text"] and not [r for r in got if r.doc_id in (501, 502)]
+    small = {x: y for x, y in t.items() if len(y.split()) < 130}
+    few = [(k, y) for k, y in rows if len(y.split()) < 130]
+    assert {(r.doc_id, r.license) for r in got if r.doc_id in dict(few) and r.license in small} == licenses.brute(few, small)
+
+
 def test_bands_guarantee_retrieval():
     assert (1 - 0.3) ** licenses.bands_for(0.3, 1, 1e-9) <= 1e-9
 
