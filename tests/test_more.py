@@ -29,6 +29,25 @@ def test_search(spark):
     assert fulltext.highlight(docs.where("id = 1"), "text", ["apple"]).first().snippet == "red **apple** pie"
 
 
+def test_fuzzy_query_searches_all_terms(spark, tmp_path):
+    from palimpsest.catalog.queries import queries
+
+    texts = ["erst Erst üerst erßt erst1", "erstä er5t ëst", "eräst first 3rst erst\U00010330 e\u0301rst", "üerstä 12 erste est 漢字", None, "erst erst"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(k, t, distance(t, "erst")) for k, text in enumerate(texts) for t in (text or "").lower().split()}
+    got = [tuple(r) for r in queries()["fts_fuzzy"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(x for x in want if x[2] <= 1) and len(got) > 10
+
+
 def test_fixed_point(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "a int, b int")
     start = spark.createDataFrame([(1,)], "a int")
