@@ -63,7 +63,7 @@ _LONGS = lambda names: {n: pa.int64() for n in names.split()}
 _FOUND = _LONGS("h kind id th")
 _CONTEXT = _LONGS("h c1 c2 left size multi") | {"text": pa.binary()}
 _PLACES = _LONGS("c1 c2 id th") | {"starts": pa.list_(pa.int64())}
-_RANGE = _LONGS("kind h node c1 c2 first last w v")
+_RANGE = _LONGS("kind h node c1 c2 first last w v multi")
 
 
 def _level(text: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -197,8 +197,10 @@ def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(group: np.ndarray, left: list[int], texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(node, entry, first, last): for each interval of the tree, starts relative to an entry's text of strings that
-    another entry of its group has too. Entries with equal group (in ascending order) have one anchor."""
+    """(node, entry, first, last): starts relative to an entry's text of strings that another entry of its group has too.
+    A node has the same strings, in the same order, from each of its entries, and all entries that have them: it is an
+    interval of the tree of what follows the anchor, cut by one of the tree of what comes before it. Entries with equal
+    group (in ascending order) have one anchor."""
     right = [t[a:] for t, a in zip(texts, left)]
     order, lcp = _sorted(_padded(right, length, group))
     ends = np.array([len(x) for x in right])[order]
@@ -217,17 +219,17 @@ def repeats(group: np.ndarray, left: list[int], texts: list[bytes], length: int)
         if hi - lo < 2:
             continue
         for i, j, depth, above in intervals(lcp, lo, hi):
-            if depth < length - max(left[entry[k]] for k in range(i, j + 1)):
+            if above >= length or depth < length - max(left[entry[k]] for k in range(i, j + 1)):
                 continue
             members = sorted((place[entry[k]], entry[k]) for k in range(i, j + 1))
             agree = [min(near[a + 1 : b + 1]) for (a, _), (b, _) in zip(members, members[1:])]
-            node += 1
-            for k, (_, x) in enumerate(members):
-                most = max(agree[k - 1] if k else 0, agree[k] if k < len(agree) else 0)
+            for k, m, near_, far in intervals([0, *(x + 1 for x in agree)], 0, len(members)):
                 # a start `o` before the anchor: the string ends length - o behind it
-                low, high = max(length - depth, left[x] - (size[x] - length), 0), min(length - above - 1, most, left[x])
+                low, high = max(length - depth, far), min(length - above, near_) - 1
                 if low <= high:
-                    yield node, x, left[x] - high, left[x] - low
+                    node += 1
+                    for _, x in members[k : m + 1]:
+                        yield node, x, left[x] - high, left[x] - low
 
 
 def _once(t: pa.Table) -> pa.Table:
@@ -250,27 +252,32 @@ def _grouped(length: int):
         t = t.filter(pa.compute.equal(t.column("multi"), 1))
         zero = np.zeros(t.num_rows, np.int64)
         h, c1, c2, size = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "size"))
-        return _batch(_RANGE, zero, h, zero, c1, c2, zero, size - length, zero, zero)
+        return _batch(_RANGE, zero + 2, h, zero, c1, c2, zero, size - length, zero, zero, zero + 1)
 
     def ranges(t: pa.Table) -> Iterator[pa.RecordBatch]:
         yield whole(t)
         h, c1, c2, multi = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "multi"))
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
-        got = np.array(list(repeats(group, t.column("left").to_pylist(), t.column("text").to_pylist(), length)), np.int64).reshape(-1, 4)
-        got = got[multi[got[:, 1]] == 0]
-        x, zero = got[:, 1], np.zeros(len(got), np.int64)
-        yield _batch(_RANGE, zero, h[x], got[:, 0], c1[x], c2[x], got[:, 2], got[:, 3], zero, zero)
+        # A context with several occurrences comes as two entries, so that it repeats itself.
+        of = np.sort(np.concatenate([np.arange(t.num_rows), np.flatnonzero(multi)]))
+        second = np.concatenate([[False], of[1:] == of[:-1]])
+        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))[of]
+        lefts, texts = t.column("left").to_pylist(), t.column("text").to_pylist()
+        got = np.array(list(repeats(group, [lefts[k] for k in of], [texts[k] for k in of], length)), np.int64).reshape(-1, 4)
+        got = got[~second[got[:, 1]]]
+        x, zero = of[got[:, 1]], np.zeros(len(got), np.int64)
+        yield _batch(_RANGE, zero, h[x], got[:, 0], c1[x], c2[x], got[:, 2], got[:, 3], zero, zero, multi[x])
 
     def strings(t: pa.Table) -> Iterator[pa.RecordBatch]:
         yield whole(t)
-        for b in t.filter(t.column("text").is_valid()).to_batches(max_chunksize=2048):
+        for b in t.to_batches(max_chunksize=2048):
             data, off = flat(b.column("text"))
             row = np.repeat(np.arange(b.num_rows), np.diff(off))[: max(len(data) - length + 1, 0)]
             ok = np.arange(len(row)) + length <= off[1:][row]
             at, row = np.flatnonzero(ok), row[ok]
             w, v = (_hashes(data, length, seed)[at].view(np.int64) for seed in (11, 13))
             one, start = np.ones(len(at), np.int64), at - off[row]
-            yield _batch(_RANGE, one, *(b.column(c).to_numpy()[row] if c else one for c in ("h", None, "c1", "c2")), start, start, w, v)
+            h, c1, c2, multi = (b.column(c).to_numpy()[row] for c in ("h", "c1", "c2", "multi"))
+            yield _batch(_RANGE, one, h, one - 1, c1, c2, start, start, w, v, multi)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -281,6 +288,7 @@ def _grouped(length: int):
                 t = _once(t if held is None else pa.concat_tables([held, t]))
                 h = t.column("h").to_numpy()
                 own = int((h == large).sum()) if large is not None else 0
+                own -= int(0 < own == t.num_rows)  # the last context may go on
                 if own:
                     yield from strings(t.slice(0, own))
                     t, h = t.slice(own), h[own:]
@@ -291,36 +299,50 @@ def _grouped(length: int):
                     t = t.slice(cut)
                     if t.num_rows > GROUP:
                         large = h[-1]
-                        yield from strings(t)
-                        t = t.slice(t.num_rows)
-                held = t if t.num_rows else None
+                        yield from strings(t.slice(0, t.num_rows - 1))
+                        t = t.slice(t.num_rows - 1)
+                held = t
         if held is not None:
-            yield from ranges(held)
+            own = int((held.column("h").to_numpy() == large).sum()) if large is not None else 0
+            if own:
+                yield from strings(held.slice(0, own))
+            if own < held.num_rows:
+                yield from ranges(held.slice(own))
 
     return run
 
 
 def repeat_groups(docs: DataFrame, length: int = 200, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: repeats (h and node name the group, c1 and c2 the context, first and last the range of byte starts
-    in it), all occurrences of contexts (c1, c2, id, th, starts in the document), and per document (id, th) whether it
-    has copies (1: it stands for them, 2: it is one; occurrences are given for the one that stands for them alone).
-
-    th is xxhash64 of the text; id is the doc_id, a null one being the largest long.
+    """Three tables: repeats (h, node, w and v name the group, c1 and c2 the context, first and last the range of byte
+    starts in it), all occurrences of contexts (c1, c2, id, th, starts in the document), and per document (id, th) whether
+    it has copies (1: it stands for them, 2: it is one; occurrences are given for the one that stands for them alone).
+
+    The ranges of a group are equally long and hold the same strings in the same order; every string of `length` bytes
+    found more than once is in one group, which has all its contexts. Anchors with more than GROUP contexts have groups
+    of one string, node 0, named by the string's hash (w, v). th is xxhash64 of the text; id is the doc_id, a null one
+    being the largest long.
     """
+    found, places, copies = _repeated(docs, length, anchor)
+    return found.where("kind < 2").select("h", "node", "w", "v", "c1", "c2", "first", "last"), places, copies
+
+
+def _repeated(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `repeat_groups` gives, with kind and multi: ranges of kind 2, besides, span all of a context that has several
+    occurrences (multi), whose ranges in groups they make needless where only bytes count."""
     text = _keyed(docs)
     level = written(_level(text, length, anchor), "anchors")
     wanted = text.join(level.where("copies < 2").where(F.size("anchors") > 0), ["id", "th"])
-    schema = "kind long, h long, node long, c1 long, c2 long, first long, last long, w long, v long"
+    schema = ", ".join(f"{c} long" for c in _RANGE)
     met = _contexts(wanted, length, anchor).repartition("h").sortWithinPartitions("h", "c1", "c2")
     found = written(met.mapInArrow(_grouped(length), schema), "ranges")
 
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, _, again in runs(batches, ["w", "v"], "c1"):
+            again = again | (cols["multi"] == 1)
             yield _batch(_RANGE, *(cols[k][again] for k in _RANGE))
 
     large = found.where("kind = 1").repartition("w", "v").sortWithinPartitions("w", "v").mapInArrow(twice, schema)
-    groups = found.where("kind = 0").union(large).select("h", "node", "c1", "c2", "first", "last")
-    return groups, _places(wanted, length, anchor), level.where("copies > 0").select("id", "th", "copies")
+    return found.where("kind <> 1").union(large), _places(wanted, length, anchor), level.where("copies > 0").select("id", "th", "copies")
 
 
 def _keyed(docs: DataFrame, *keep) -> DataFrame:
@@ -344,8 +366,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = ANCHOR, who
     ship(docs.sparkSession)
     new = ("n_bytes", "n_removed", "n_spans")
     docs = docs.drop(*new)
-    groups, places, copies = repeat_groups(docs, length, anchor)
-    per = groups.groupBy("c1", "c2").agg(F.collect_list("first").alias("f"), F.collect_list("last").alias("l"))
+    found, places, copies = _repeated(docs, length, anchor)
+    per = found.where("kind = 2 or multi = 0").groupBy("c1", "c2").agg(F.collect_list("first").alias("f"), F.collect_list("last").alias("l"))
     moved = lambda c: F.flatten(F.transform("starts", lambda s: F.transform(c, lambda x: x + s)))
     met = places.join(per, ["c1", "c2"]).select("id", "th", moved("f").alias("f"), moved("l").alias("l"))
     spans_ = met.groupBy("id", "th").agg(F.flatten(F.collect_list("f")).alias("first"), F.flatten(F.collect_list("l")).alias("last"))

@@ -77,6 +77,32 @@ def test_repeats(spark, monkeypatch, length, anchor, group):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, repeats.brute(rows, length)))
 
 
+@pytest.mark.parametrize("length,anchor,group", [(60, 20, 4096), (50, 8, 6), (50, 8, 1)])
+def test_repeat_groups(spark, monkeypatch, length, anchor, group):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 6)))
+    line, often = (" ".join(word() for _ in range(30)) for _ in range(2))
+    rows = _rows(4, 40) + [(100 + k, f"{word()} {line} {often} {word()} {line[: 30 + 9 * k]}{word()} {often}") for k in range(9)]
+    rows += [(200, f"{often}|{often}|{often}"), (201, f"{word()}|{often}|{word()}"), (202, "same start " * 5 + line), (203, line)]
+    groups, places, copies = repeats.repeat_groups(_frame(spark, rows), length, anchor)
+    other = {x.id for x in copies.collect() if x.copies == 2}
+    texts = {i: (t or "").encode() for i, t in rows if i not in other}
+    assert len(texts) == len(rows) - len(other)
+    starts = {}
+    for x in places.collect():
+        starts.setdefault((x.c1, x.c2), []).extend((x.id, at) for at in x.starts)
+    got = {}
+    for x in groups.collect():
+        for k in range(x["last"] - x["first"] + 1):
+            got.setdefault((x.h, x.node, x.w, x.v, k), []).extend((i, at + x["first"] + k) for i, at in starts[x.c1, x.c2])
+    want = {}
+    for i, raw in texts.items():
+        for at in range(len(raw) - length + 1):
+            want.setdefault(raw[at : at + length], []).append((i, at))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
 def test_intervals():
     # entries 0..4 with common prefixes -, 2, 5, 5, 1
     assert sorted(repeats.intervals([0, 2, 5, 5, 1], 0, 5)) == sorted([(1, 3, 5, 2), (0, 3, 2, 1), (0, 4, 1, 0)])
