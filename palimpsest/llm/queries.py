@@ -36,8 +36,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
-    kept = quality.graded(docs.select("doc_id", "text"), model, at_least=1).where("selected")
-    return kept.select("doc_id", "expected_grade", "tail_probability")
+    graded = quality.graded(docs.select("doc_id", "text"), model, at_least=1)
+    return graded.select("doc_id", "expected_grade", "tail_probability", "selected")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

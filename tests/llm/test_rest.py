@@ -139,6 +139,15 @@ def test_quality_on_the_tables(spark, sf):
     assert np.mean([r.selected == (r.quality == 1) for r in got]) >= 0.97
 
 
+def test_quality_query_returns_every_document(spark):
+    from palimpsest.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    got = queries.op4_quality(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect())
+    assert {r.selected for r in got} == {True, False} and all(r.selected == (r.tail_probability >= 0.5) for r in got)
+
+
 # op6
 
 
