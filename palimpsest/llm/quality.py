@@ -36,8 +36,13 @@ def _parts(col: pa.Array):
     d = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint32)
     code = (d[:-2] << np.uint32(16)) | (d[1:-1] << np.uint32(8)) | d[2:]
     bucket = (code * np.uint32(2654435761)) >> np.uint32(20)
+    within = np.ones(len(data), bool)  # the last two bytes of a row begin no trigram of its own
+    for k in (1, 2):
+        at = off[1:] - k
+        within[at[at >= off[:-1]]] = False
     start, end, first = words(data, off)
-    return bucket, off, spans(prefix(data), start, end), np.minimum(end - start, LENGTHS) - 1, first
+    off = np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - 2, 0))])
+    return bucket[within], off, spans(prefix(data), start, end), np.minimum(end - start, LENGTHS) - 1, first
 
 
 def _again(h: np.ndarray, first: np.ndarray, lag: int) -> np.ndarray:
@@ -57,7 +62,7 @@ def features(col: pa.Array) -> np.ndarray:
     for r in range(len(off) - 1):
         n, m = off[r + 1] - off[r], first[r + 1] - first[r]
         if m:
-            out[r, :BUCKETS] = np.bincount(bucket[off[r] : off[r + 1]], minlength=BUCKETS) / n
+            out[r, :BUCKETS] = np.bincount(bucket[off[r] : off[r + 1]], minlength=BUCKETS) / max(n, 1)
             out[r, BUCKETS + LAGS : -1] = np.bincount(size[first[r] : first[r + 1]], minlength=LENGTHS) / m
             out[r, -1] = np.log1p(m) / 10
     for lag in range(1, LAGS + 1):

@@ -130,6 +130,17 @@ def test_scores_equal_features_by_weights():
     assert np.allclose(m.scores(col)[0], x @ m.weights, atol=1e-5)
 
 
+def test_features_do_not_depend_on_the_neighbours():
+    import pyarrow as pa
+
+    m = quality.Model([0, 1], np.random.default_rng(0).normal(size=quality.WIDTH), np.zeros(1))
+    texts = ["some words", "some words", "a", "", "ab", "abc", None, "é", "some words", "zz top"]
+    alone = [quality.features(pa.array([t], pa.string()))[0] for t in texts]
+    assert np.array_equal(quality.features(pa.array(texts)), alone)
+    assert np.allclose(m.scores(pa.array(texts))[0], [m.scores(pa.array([t], pa.string()))[0][0] for t in texts], rtol=0, atol=1e-12)
+    assert [round(float(x[: quality.BUCKETS].sum()), 5) for x in alone] == [1, 1, 0, 0, 0, 1, 0, 0, 1, 1]
+
+
 @pytest.mark.parametrize("sf", ["0.01"])
 def test_quality_on_the_tables(spark, sf):
     docs, lab = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
