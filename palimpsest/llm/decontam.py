@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, flat, grams, lower, odd, mix, prefix, ship, spans, words
+from .common import SPACE, chunks, flat, grams, lower, mix, odd, rested, ship, word_hashes, written
 
 #: ASCII characters other than letters and digits part words here, so punctuation and case don't matter.
 BREAK = SPACE.copy()
@@ -32,10 +32,9 @@ _SCHEMA = "doc_id long, item_id long, passage long, score double, question_overl
 
 
 def hashed(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts, and where each text's begin."""
     data, off = flat(col)
-    data = lower(data)
-    start, end, first = words(data, off, BREAK)
-    return spans(prefix(data), start, end), first
+    return word_hashes(lower(data), off, BREAK)
 
 
 def shingled(h: np.ndarray, n: int) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, odd, ship
+from .common import chunks, mix, odd, rested, ship
 from .decontam import hashed, short_grams, shingled
 
 #: Short notices, by the name they are reported under; `defaults` adds license texts and standard headers.
@@ -144,13 +144,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int
     a window holds at least a share `containment` of a template's word shingles.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; a template of fewer words than a
-    shingle counts as one shingle. Whole texts are scanned. Null and empty texts have no rows, nor does anything
-    without templates; repeated rows have rows of their own; null doc_ids are carried. Other columns are ignored.
+    shingle counts as one shingle. Whole texts of any length are scanned, over their word hashes. Null and empty texts
+    have no rows, nor does anything without templates; repeated rows have rows of their own; null doc_ids are carried.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = ship(docs.sparkSession)
     made = Templates(defaults() if templates is None else templates, shingle, containment)
     held = spark.sparkContext.broadcast(made)
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = held.value
         for b in chunks(batches):

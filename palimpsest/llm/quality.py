@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, prefix, rows_of, ship, spans, words
+from .common import chunks, flat, hashed, parts, rested, rows_of, ship, words
 
 #: Buckets of hashed byte trigrams; after them come repeats of words at 1 to LAGS places, word lengths, and a count.
 BUCKETS, LAGS, LENGTHS = 4096, 8, 24
@@ -26,8 +26,11 @@ GRADES = 64
 
 def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sums of values over rows given by offsets; rows may be empty."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, 0, dtype=np.float64)])
-    return total[off[1:]] - total[off[:-1]]
+    out = np.zeros(len(off) - 1)
+    some = np.diff(off) > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, off[:-1][some], dtype=np.float64)
+    return out
 
 
 def _parts(col: pa.Array):
@@ -42,7 +45,7 @@ def _parts(col: pa.Array):
         within[at[at >= off[:-1]]] = False
     start, end, first = words(data, off)
     off = np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - 2, 0))])
-    return bucket[within], off, spans(prefix(data), start, end), np.minimum(end - start, LENGTHS) - 1, first
+    return bucket[within], off, hashed(data, start, end), np.minimum(end - start, LENGTHS) - 1, first
 
 
 def _again(h: np.ndarray, first: np.ndarray, lag: int) -> np.ndarray:
@@ -57,16 +60,20 @@ def _again(h: np.ndarray, first: np.ndarray, lag: int) -> np.ndarray:
 
 def features(col: pa.Array) -> np.ndarray:
     """One row of WIDTH shares for each text."""
-    bucket, off, h, size, first = _parts(col)
-    out = np.zeros((len(off) - 1, WIDTH), np.float32)
-    for r in range(len(off) - 1):
-        n, m = off[r + 1] - off[r], first[r + 1] - first[r]
-        if m:
-            out[r, :BUCKETS] = np.bincount(bucket[off[r] : off[r + 1]], minlength=BUCKETS) / max(n, 1)
-            out[r, BUCKETS + LAGS : -1] = np.bincount(size[first[r] : first[r + 1]], minlength=LENGTHS) / m
-            out[r, -1] = np.log1p(m) / 10
-    for lag in range(1, LAGS + 1):
-        out[:, BUCKETS + lag - 1] = _sums(_again(h, first, lag), first) / np.maximum(np.diff(first), 1)
+    out, grams, count = np.zeros((len(col), WIDTH), np.float32), np.zeros(len(col)), np.zeros(len(col))
+    for texts, rows in parts(col):
+        bucket, off, h, size, first = _parts(texts)
+        for k, r in enumerate(rows.tolist()):
+            out[r, :BUCKETS] += np.bincount(bucket[off[k] : off[k + 1]], minlength=BUCKETS)
+            out[r, BUCKETS + LAGS : -1] += np.bincount(size[first[k] : first[k + 1]], minlength=LENGTHS)
+        for lag in range(1, LAGS + 1):
+            np.add.at(out[:, BUCKETS + lag - 1], rows, _sums(_again(h, first, lag), first))
+        np.add.at(grams, rows, np.diff(off))
+        np.add.at(count, rows, np.diff(first))
+    out[:, :BUCKETS] /= np.maximum(grams, 1)[:, None]
+    out[:, BUCKETS:-1] /= np.maximum(count, 1)[:, None]
+    out[:, -1] = np.log1p(count) / 10
+    out[count == 0] = 0
     return out
 
 
@@ -78,12 +85,16 @@ class Model:
 
     def scores(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Scores of texts, and how many words each has, without a feature matrix."""
-        bucket, off, h, size, first = _parts(col)
-        w, n, m = self.weights, np.maximum(np.diff(off), 1), np.diff(first)
-        some = np.maximum(m, 1)
-        s = _sums(w[bucket], off) / n + _sums(w[BUCKETS + LAGS + size], first) / some + w[-1] * np.log1p(m) / 10
-        for lag in range(1, LAGS + 1):
-            s += w[BUCKETS + lag - 1] * _sums(_again(h, first, lag), first) / some
+        w, total = self.weights, np.zeros((4, len(col)))  # sums over trigrams and words, and how many of either
+        for texts, rows in parts(col):
+            bucket, off, h, size, first = _parts(texts)
+            by_word = _sums(w[BUCKETS + LAGS + size], first)
+            for lag in range(1, LAGS + 1):
+                by_word += w[BUCKETS + lag - 1] * _sums(_again(h, first, lag), first)
+            for k, x in enumerate((_sums(w[bucket], off), by_word, np.diff(off), np.diff(first))):
+                np.add.at(total[k], rows, x)
+        grams, by_word, n, m = total
+        s = grams / np.maximum(n, 1) + by_word / np.maximum(m, 1) + w[-1] * np.log1p(m) / 10
         return np.where(m > 0, s, 0), m
 
     def tails(self, s: np.ndarray) -> np.ndarray:
@@ -139,14 +150,17 @@ def sample(docs: DataFrame, labels: DataFrame, grade: str, most: int) -> tuple[n
         picked = some if picked is None else picked.union(some)
     if picked is None:
         return np.zeros((0, WIDTH), np.float32), np.zeros(0)
+    # As many rows as were picked: their number is known before they are broadcast. Of rows that share an id one counts.
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    text = text.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "grade", "x"])
 
-    got = sorted(text.mapInArrow(run, "doc_id long, grade double, x binary").limit(2 * most).collect())
+    got = sorted(text.mapInArrow(run, "doc_id long, grade double, x binary").collect())
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, WIDTH)
     return x, np.array([r.grade for r in got])
 
@@ -164,7 +178,8 @@ def graded(docs: DataFrame, model: Model, at_least: float) -> DataFrame:
 
     Null, empty and blank texts have the lowest grade and are not selected. A model without labels selects all others
     and leaves the two numbers null; with one grade it expects that. Repeated rows and null doc_ids are graded row by
-    row. Columns of docs with the names of new ones are replaced.
+    row. A text of more than a block is graded in parts whose sums are added. Columns of docs with the names of new ones
+    are replaced; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     new = ("expected_grade", "tail_probability", "selected")
@@ -172,6 +187,7 @@ def graded(docs: DataFrame, model: Model, at_least: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         grades = np.array(m.grades)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, lower, prefix, ship, spans, words
+from .common import chunks, flat, hashed, lower, parts, rested, ship, words
 from .decontam import BREAK
 
 #: Hash buckets (as a power of two), embedding length, lengths of n-grams in bytes.
@@ -32,7 +32,7 @@ def subwords(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     pad[at], of[at] = lower(data), row
     pad[BREAK[pad]] = 32
     start, end, _ = words(pad, np.array([0, len(pad)]))
-    yield (spans(prefix(pad), start, end) >> np.uint64(64 - BITS)).astype(np.int32), of[start]
+    yield (hashed(pad, start, end) >> np.uint64(64 - BITS)).astype(np.int32), of[start]
     blanks = np.concatenate([[0], np.cumsum(pad == 32, dtype=np.int32)])
     wide = pad.astype(np.uint32)
     for k in SIZES:
@@ -58,9 +58,10 @@ class Model:
     def scores(self, col: pa.Array) -> np.ndarray:
         n = len(col)
         total, count = np.zeros(n), np.zeros(n)
-        for bucket, row in subwords(col):
-            total += np.bincount(row, self.table[bucket], n)
-            count += np.bincount(row, minlength=n)
+        for texts, rows in parts(col):
+            for bucket, row in subwords(texts):
+                np.add.at(total, rows, np.bincount(row, self.table[bucket], len(rows)))
+                np.add.at(count, rows, np.bincount(row, minlength=len(rows)))
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -60, 60)))
 
 
@@ -119,31 +120,42 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model:
     for k in (0, 1):
         some = rated.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
         picked = some if picked is None else picked.union(some)
+    # As many rows as were picked: their number is known before they are broadcast. Of rows that share an id one counts.
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    text = text.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            kinds = list(subwords(b.column("text")))
-            bucket, row = (np.concatenate(x) for x in zip(*kinds))
-            bags = []
-            for r in range(b.num_rows):
-                bags.append(b"".join(x.astype(np.int32).tobytes() for x in np.unique(bucket[row == r], return_counts=True)))
+            bags = [bag(b.column("text").slice(r, 1)) for r in range(b.num_rows)]
+            bags = [x.astype(np.int32).tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes() for x, n in bags]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(bags, pa.binary())], names=["doc_id", "toxic", "bag"])
 
-    got = sorted(text.mapInArrow(run, "doc_id long, toxic int, bag binary").limit(2 * most).collect())
-    bags = [np.frombuffer(bytes(r.bag), np.int32).reshape(2, -1) for r in got if r.bag]
-    return fit([(b[0], b[1]) for b in bags], np.array([r.toxic for r in got if r.bag], int))
+    got = sorted(text.mapInArrow(run, "doc_id long, toxic int, bag binary").collect())
+    bags = [(np.frombuffer(r.bag, np.int32, len(r.bag) // 6), np.frombuffer(r.bag, np.uint16, offset=len(r.bag) // 6 * 4)) for r in got if r.bag]
+    return fit(bags, np.array([r.toxic for r in got if r.bag], int))
+
+
+def bag(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of one text, and how often it has each."""
+    each = [np.unique(bucket, return_counts=True) for part, _ in parts(text) for bucket, _ in subwords(part)]
+    if not each:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bucket, of = np.unique(np.concatenate([x for x, _ in each]), return_inverse=True)
+    return bucket, np.bincount(of, np.concatenate([n for _, n in each])).astype(np.int64)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: likelier toxic) and predicted (1 from one half on) of every row.
 
     Null, empty and blank texts have the score of no evidence, the model's bias. Repeated rows and null doc_ids (held
-    out) are scored row by row; nothing but the text goes into a score.
+    out) are scored row by row; nothing but the text goes into a score. A text of more than a block is scored in parts
+    whose sums are added. Other columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             s = held.value.scores(b.column("text"))
