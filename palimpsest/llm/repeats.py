@@ -7,6 +7,9 @@ one, which is combined where they are read. All contexts of one anchor meet; the
 prefixes, a stack scan gives the intervals of the common-prefix tree, and within an interval the texts before the
 anchors, sorted backwards, tell how far its members agree to the left and where they part (a repeat is maximal only
 where they do). That yields each interval's repeats with all occurrences, as ranges of starts.
+
+An anchor with very many contexts is split by the bytes around it: a stretch of WIDTH neighbouring starts at a time, by
+the bytes that all strings from these starts have in common. Texts longer than a block are read in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -20,16 +23,16 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, mix, odd, powers, prefix, ship, spans, window_min, written
+from .common import Seen, chunks, flat, mix, odd, pieces, powers, prefix, rested, ship, spans, window_min, written
 from .runs import lists, runs
 from .substrings import covered
 
 #: Bytes of the string hashed for an anchor.
 ANCHOR = 40
-#: Contexts of one anchor that are sorted together in memory; the strings of a larger group are dealt out by hash.
+#: Contexts of one anchor that are sorted together in memory; a larger group is split.
 GROUP = 4096
-#: Contexts that a task remembers having sent.
-SEEN = 400_000
+#: Starts that stay together when a large group is split; what then still is too large goes start by start.
+WIDTH = 20
 
 
 def _hashes(data: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -60,44 +63,80 @@ def _batch(schema: dict, *cols) -> pa.RecordBatch:
 
 
 _LONGS = lambda names: {n: pa.int64() for n in names.split()}
-_FOUND = _LONGS("h kind id th")
-_CONTEXT = _LONGS("h c1 c2 left size multi") | {"text": pa.binary()}
+_FOUND = _LONGS("key kind v id th")
+_CONTEXT = _LONGS("h part c1 c2 base left size multi") | {"text": pa.binary()}
 _PLACES = _LONGS("c1 c2 id th") | {"starts": pa.list_(pa.int64())}
 _RANGE = _LONGS("kind h node c1 c2 first last w v multi")
 
 
+def _schema(kinds: dict) -> str:
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{n} {names[t]}" for n, t in kinds.items())
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Chunks whose rows are texts or pieces of texts, and the byte at which each begins in its text."""
+    for b in batches:
+        for part, begin in pieces(b, length - 1):
+            at = 0
+            for c in chunks(iter([part])):
+                yield c, begin[at : at + c.num_rows]
+                at += c.num_rows
+
+
+def _whole_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """id, th and a second hash of texts that are long enough, for copies."""
+    for b in batches:
+        n = pyarrow.compute.fill_null(pyarrow.compute.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(n >= length)
+        texts = b.column("text").cast(pa.binary())
+        v = np.array([int.from_bytes(hashlib.blake2b(texts[r].as_buffer(), digest_size=8).digest(), "little", signed=True) for r in at.tolist()], np.int64)
+        yield b.column("id").to_numpy()[at], b.column("th").to_numpy()[at], v
+
+
 def _level(text: DataFrame, length: int, anchor: int) -> DataFrame:
     """(id, th, anchors, copies): of each document, anchors found elsewhere too (1 in copies: it has copies and is the
-    first of them, 2: it is another copy)."""
+    first of them, 2: it is another copy). Copies agree in two hashes, 128 bits.
 
+    Kinds of rows: 0 an anchor, 1 a whole text, both sent by their hashes; 2 and 3 the same with the answer known before
+    the shuffle, so that they are dealt out by document."""
+
+    @rested
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            data, off = flat(b.column("text"))
-            id_, th = b.column("id").to_numpy(), b.column("th").to_numpy()
-            row, at, _, _ = _anchors(data, off, length, anchor)
-            h = _hashes(data, anchor, 13)[at] if len(at) else np.zeros(0, np.uint64)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            third = np.zeros(len(h), bool)  # two of a kind in one row say enough
-            third[2:] = (h[2:] == h[:-2]) & (row[2:] == row[:-2])
-            h, row = h[~third].view(np.int64), row[~third]
-            whole = np.flatnonzero(np.diff(off) >= length)
-            row = np.concatenate([row, whole])
-            yield _batch(_FOUND, np.concatenate([h, th[whole]]), np.repeat([0, 1], [len(h), len(whole)]), id_[row], th[row])
+        anchors, copies, least = Seen(), Seen(14), Seen(14)
+        for whole in batches:
+            for id_, th, v in _whole_hashes(iter([whole]), length):
+                key = th ^ mix(v.view(np.uint64)).view(np.int64)
+                known = copies.twice(key.view(np.uint64)) & least.later(key.view(np.uint64), id_)
+                yield _batch(_FOUND, np.where(known, id_, key), 1 + 2 * known, v, id_, th)
+            for b, _ in _cut(iter([whole]), length):
+                data, off = flat(b.column("text"))
+                id_, th = b.column("id").to_numpy(), b.column("th").to_numpy()
+                row, at, _, _ = _anchors(data, off, length, anchor)
+                h = _hashes(data, anchor, 13)[at] if len(at) else np.zeros(0, np.uint64)
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                third = np.zeros(len(h), bool)  # two of a kind in one row say enough
+                third[2:] = (h[2:] == h[:-2]) & (row[2:] == row[:-2])
+                h, row = h[~third], row[~third]
+                known = anchors.twice(h)
+                id_, th, h = id_[row], th[row], h.view(np.int64)
+                yield _batch(_FOUND, np.where(known, mix(id_.view(np.uint64).copy()).view(np.int64), h), 2 * known, np.where(known, h, 0), id_, th)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, first, again in runs(batches, ["h", "kind"], "id"):
-            kind = np.where((cols["kind"] == 1) & (cols["id"] != first), 2, cols["kind"])
-            yield _batch(_FOUND, cols["h"][again], kind[again], cols["id"][again], cols["th"][again])
-
-    schema = "h long, kind long, id long, th long"
-    rows = text.mapInArrow(named, schema)
-    found = rows.repartition("h").sortWithinPartitions("h", "kind", "id", "th").mapInArrow(shared, schema)
-    anchors = F.collect_set(F.when(F.col("kind") == 0, F.col("h"))).alias("anchors")
+        for cols, first, again in runs(batches, ["key", "kind", "v"], "id"):
+            kind, h = cols["kind"], np.where(cols["kind"] == 2, cols["v"], cols["key"])
+            copy = np.where(kind == 3, 2, np.where(kind == 1, 1 + (cols["id"] != first), 0))
+            keep = again | (kind >= 2)
+            yield _batch(_FOUND, h[keep], copy[keep], cols["v"][keep], cols["id"][keep], cols["th"][keep])
+
+    rows = text.mapInArrow(named, _schema(_FOUND))
+    found = rows.repartition("key").sortWithinPartitions("key", "kind", "v", "id", "th").mapInArrow(shared, _schema(_FOUND))
+    anchors = F.collect_set(F.when(F.col("kind") == 0, F.col("key"))).alias("anchors")
     return found.groupBy("id", "th").agg(anchors, F.max("kind").alias("copies"))
 
 
-def _found(b: pa.RecordBatch, length: int, anchor: int):
+def _found(b: pa.RecordBatch, begin: np.ndarray, length: int, anchor: int):
     """A chunk's bytes, and of its anchors that are found elsewhere too: row, hash, context's start in its text, start
     and end in the bytes, bytes before the anchor, and the context's 128-bit hash."""
     data, off = flat(b.column("text"))
@@ -113,44 +152,32 @@ def _found(b: pa.RecordBatch, length: int, anchor: int):
     row, at, s0, end, h = (x[keep] for x in (row, at, s0, s1 + length, h))
     left = at - s0
     c1, c2 = (mix(spans(prefix(data, seed), s0, end) + left.astype(np.uint64) * odd(1, seed)[0]).view(np.int64) for seed in (11, 13))
-    return data, row, h, s0 - off[row], s0, end, left, c1, c2
+    return data, row, h, s0 - off[row] + begin[row], s0, end, left, c1, c2
 
 
 def _contexts(wanted: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Contexts of anchors that are found elsewhere too: one row for each different one that a task meets, a second
-    without the text if it meets it again (multi: more than one occurrence is known)."""
+    """Contexts of anchors that are found elsewhere too; one that a task has met twice before is left out."""
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
-        for b in chunks(batches):
-            data, _, h, _, s0, end, left, c1, c2 = _found(b, length, anchor)
-            if not len(h):
-                continue
-            order = np.lexsort((c2, c1))
-            new = np.concatenate([[True], (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1])])
-            count = np.diff(np.append(np.flatnonzero(new), len(order))).tolist()
-            at, again, texts, raw = [], [], [], data.tobytes()
-            for i, n, key in zip(order[new].tolist(), count, zip(c1[order][new].tolist(), c2[order][new].tolist())):
-                known = seen.get(key, 0)
-                if known < 2:
-                    at.append(i)
-                    again.append(int(known + n > 1))
-                    texts.append(None if known else raw[s0[i] : end[i]])
-                    seen[key] = min(known + n, 2)
-            if len(seen) > SEEN:
-                seen.clear()
-            at = np.array(at, np.int64)
-            yield _batch(_CONTEXT, h[at], c1[at], c2[at], left[at], (end - s0)[at], again, texts)
-
-    return wanted.mapInArrow(run, "h long, c1 long, c2 long, left long, size long, multi long, text binary")
+        seen = Seen()
+        for b, begin in _cut(batches, length):
+            data, _, h, _, s0, end, left, c1, c2 = _found(b, begin, length, anchor)
+            at = np.flatnonzero(~seen.twice(c1.view(np.uint64) ^ mix(c2.view(np.uint64).copy())))
+            raw, zero = data.tobytes(), np.zeros(len(at), np.int64)
+            texts = [raw[i:j] for i, j in zip(s0[at].tolist(), end[at].tolist())]
+            yield _batch(_CONTEXT, h[at], zero, c1[at], c2[at], zero, left[at], (end - s0)[at], zero, texts)
+
+    return wanted.mapInArrow(run, _schema(_CONTEXT))
 
 
 def _places(wanted: DataFrame, length: int, anchor: int) -> DataFrame:
     """Where each document has each context."""
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            _, row, _, start, _, _, _, c1, c2 = _found(b, length, anchor)
+        for b, begin in _cut(batches, length):
+            _, row, _, start, _, _, _, c1, c2 = _found(b, begin, length, anchor)
             order = np.lexsort((start, c2, c1, row))
             row, start, c1, c2 = (x[order] for x in (row, start, c1, c2))
             new = np.ones(len(row), bool)
@@ -161,7 +188,7 @@ def _places(wanted: DataFrame, length: int, anchor: int) -> DataFrame:
             cols = [pa.array(c1[new]), pa.array(c2[new]), b.column("id").take(pa.array(row)), b.column("th").take(pa.array(row)), starts]
             yield pa.RecordBatch.from_arrays(cols, names=list(_PLACES))
 
-    return wanted.mapInArrow(run, "c1 long, c2 long, id long, th long, starts array<long>")
+    return wanted.mapInArrow(run, _schema(_PLACES))
 
 
 def intervals(lcp: list[int], lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
@@ -233,79 +260,85 @@ def repeats(group: np.ndarray, left: list[int], texts: list[bytes], length: int)
 
 
 def _once(t: pa.Table) -> pa.Table:
-    """Of contexts sorted by h, c1 and c2, each once; multi if it came more than once."""
-    c1, c2 = t.column("c1").to_numpy(), t.column("c2").to_numpy()
-    new = np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
+    """Of contexts sorted by h, part, c1, c2 and base, each once; multi if it came more than once."""
+    same = np.ones(t.num_rows - 1, bool)
+    for c in ("h", "part", "c1", "c2", "base"):
+        x = t.column(c).to_numpy()
+        same &= x[1:] == x[:-1]
+    new = np.concatenate([[True], ~same])
     if new.all():
         return t
     first = np.flatnonzero(new)
-    multi = np.maximum(np.maximum.reduceat(t.column("multi").to_numpy(), first), (np.diff(np.append(first, len(new))) > 1).astype(np.int64))
-    has = t.column("text").is_valid().to_numpy()
-    best = np.maximum.reduceat(np.where(has, np.arange(len(new)), -1), first)  # a row with the text
-    t = t.take(pa.array(np.where(best < 0, first, best)))
+    multi = np.maximum.reduceat(t.column("multi").to_numpy(), first)
+    multi = np.maximum(multi, (np.diff(np.append(first, len(new))) > 1).astype(np.int64))
+    t = t.take(pa.array(first))
     return t.set_column(t.schema.get_field_index("multi"), "multi", pa.array(multi))
 
 
-def _grouped(length: int):
-    def whole(t: pa.Table) -> pa.RecordBatch:
-        """Contexts with several occurrences: every string of theirs is repeated."""
-        t = t.filter(pa.compute.equal(t.column("multi"), 1))
-        zero = np.zeros(t.num_rows, np.int64)
-        h, c1, c2, size = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "size"))
-        return _batch(_RANGE, zero + 2, h, zero, c1, c2, zero, size - length, zero, zero, zero + 1)
+def _grouped(length: int, width: int):
+    """Ranges (kind 0) of small groups, or parts of large ones (kind 1, with the context's columns) of `width` starts."""
 
     def ranges(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield whole(t)
-        h, c1, c2, multi = (t.column(c).to_numpy() for c in ("h", "c1", "c2", "multi"))
+        h, part, c1, c2, base, multi = (t.column(c).to_numpy() for c in ("h", "part", "c1", "c2", "base", "multi"))
         # A context with several occurrences comes as two entries, so that it repeats itself.
         of = np.sort(np.concatenate([np.arange(t.num_rows), np.flatnonzero(multi)]))
         second = np.concatenate([[False], of[1:] == of[:-1]])
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))[of]
+        new = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+        group = np.cumsum(np.concatenate([[0], new]))[of]
         lefts, texts = t.column("left").to_pylist(), t.column("text").to_pylist()
         got = np.array(list(repeats(group, [lefts[k] for k in of], [texts[k] for k in of], length)), np.int64).reshape(-1, 4)
         got = got[~second[got[:, 1]]]
         x, zero = of[got[:, 1]], np.zeros(len(got), np.int64)
-        yield _batch(_RANGE, zero, h[x], got[:, 0], c1[x], c2[x], got[:, 2], got[:, 3], zero, zero, multi[x])
-
-    def strings(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield whole(t)
-        for b in t.to_batches(max_chunksize=2048):
-            data, off = flat(b.column("text"))
-            row = np.repeat(np.arange(b.num_rows), np.diff(off))[: max(len(data) - length + 1, 0)]
-            ok = np.arange(len(row)) + length <= off[1:][row]
-            at, row = np.flatnonzero(ok), row[ok]
-            w, v = (_hashes(data, length, seed)[at].view(np.int64) for seed in (11, 13))
-            one, start = np.ones(len(at), np.int64), at - off[row]
-            h, c1, c2, multi = (b.column(c).to_numpy()[row] for c in ("h", "c1", "c2", "multi"))
-            yield _batch(_RANGE, one, h, one - 1, c1, c2, start, start, w, v, multi)
+        cols = (zero, h[x], got[:, 0], c1[x], c2[x], got[:, 2] + base[x], got[:, 3] + base[x], part[x], zero, multi[x])
+        yield _batch(_RANGE | {"text": pa.binary()}, *cols, [None] * len(got))
 
+    def split(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in t.to_batches(max_chunksize=1024):
+            h, c1, c2, base, left, size, multi = (b.column(c).to_numpy() for c in ("h", "c1", "c2", "base", "left", "size", "multi"))
+            texts = b.column("text").to_pylist()
+            out: list[tuple] = []
+            for k, text in enumerate(texts):
+                low, high = int(left[k] - size[k] + length), int(left[k])  # how far before the anchor strings may start
+                for j in range(low // width, high // width + 1):
+                    a, z = min(j * width + width - 1, high), max(j * width, low)
+                    core = text[high - j * width : high - j * width + length - width + 1]
+                    name = hashlib.blake2b(core, digest_size=16, salt=(j & 0xFFFF).to_bytes(2, "little")).digest()
+                    own = (int(h[k]) ^ int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True))
+                    out.append((*own, c1[k], c2[k], base[k] + high - a, a, length + a - z, multi[k], text[high - a : high - z + length]))
+            one = np.ones(len(out), np.int64)
+            g, part, *rest = (list(c) for c in zip(*out)) if out else [[]] * 9
+            cc1, cc2, bb, ll, ss, mm, tt = rest
+            yield _batch(_RANGE | {"text": pa.binary()}, one, g, ll, cc1, cc2, bb, ss, part, one * 0, mm, tt)
+
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        large = None  # the anchor whose strings are dealt out by hash
+        large = None  # the group that is split as it comes
+        key = lambda t: np.stack([t.column("h").to_numpy(), t.column("part").to_numpy()], 1)
         for b in batches:
             for at in range(0, b.num_rows, GROUP):
                 t = pa.Table.from_batches([b.slice(at, GROUP)])
                 t = _once(t if held is None else pa.concat_tables([held, t]))
-                h = t.column("h").to_numpy()
-                own = int((h == large).sum()) if large is not None else 0
+                k = key(t)
+                own = int((k == large).all(1).sum()) if large is not None else 0
                 own -= int(0 < own == t.num_rows)  # the last context may go on
                 if own:
-                    yield from strings(t.slice(0, own))
-                    t, h = t.slice(own), h[own:]
+                    yield from split(t.slice(0, own))
+                    t, k = t.slice(own), k[own:]
                 if t.num_rows >= 2 * GROUP:
-                    cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+                    cut = int(np.flatnonzero((k == k[-1]).all(1))[0])  # the last group may go on
                     if cut:
                         yield from ranges(t.slice(0, cut))
                     t = t.slice(cut)
                     if t.num_rows > GROUP:
-                        large = h[-1]
-                        yield from strings(t.slice(0, t.num_rows - 1))
+                        large = k[-1]
+                        yield from split(t.slice(0, t.num_rows - 1))
                         t = t.slice(t.num_rows - 1)
-                held = t
+                held = t.combine_chunks()
         if held is not None:
-            own = int((held.column("h").to_numpy() == large).sum()) if large is not None else 0
+            own = int((key(held) == large).all(1).sum()) if large is not None else 0
             if own:
-                yield from strings(held.slice(0, own))
+                yield from split(held.slice(0, own))
             if own < held.num_rows:
                 yield from ranges(held.slice(own))
 
@@ -313,36 +346,45 @@ def _grouped(length: int):
 
 
 def repeat_groups(docs: DataFrame, length: int = 200, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables: repeats (h, node, w and v name the group, c1 and c2 the context, first and last the range of byte
+    """Three tables: repeats (h, w and node name the group, c1 and c2 the context, first and last the range of byte
     starts in it), all occurrences of contexts (c1, c2, id, th, starts in the document), and per document (id, th) whether
     it has copies (1: it stands for them, 2: it is one; occurrences are given for the one that stands for them alone).
 
     The ranges of a group are equally long and hold the same strings in the same order; every string of `length` bytes
-    found more than once is in one group, which has all its contexts. Anchors with more than GROUP contexts have groups
-    of one string, node 0, named by the string's hash (w, v). th is xxhash64 of the text; id is the doc_id, a null one
-    being the largest long.
+    found more than once is in one group, which has all its contexts. th is xxhash64 of the text; id is the doc_id, a null
+    one being the largest long.
     """
     found, places, copies = _repeated(docs, length, anchor)
-    return found.where("kind < 2").select("h", "node", "w", "v", "c1", "c2", "first", "last"), places, copies
+    return found.select("h", "w", "node", "c1", "c2", "first", "last"), places, copies
 
 
 def _repeated(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What `repeat_groups` gives, with kind and multi: ranges of kind 2, besides, span all of a context that has several
-    occurrences (multi), whose ranges in groups they make needless where only bytes count."""
+    """What `repeat_groups` gives, with multi (the context has several occurrences)."""
     text = _keyed(docs)
     level = written(_level(text, length, anchor), "anchors")
     wanted = text.join(level.where("copies < 2").where(F.size("anchors") > 0), ["id", "th"])
-    schema = ", ".join(f"{c} long" for c in _RANGE)
-    met = _contexts(wanted, length, anchor).repartition("h").sortWithinPartitions("h", "c1", "c2")
-    found = written(met.mapInArrow(_grouped(length), schema), "ranges")
-
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, _, again in runs(batches, ["w", "v"], "c1"):
-            again = again | (cols["multi"] == 1)
-            yield _batch(_RANGE, *(cols[k][again] for k in _RANGE))
-
-    large = found.where("kind = 1").repartition("w", "v").sortWithinPartitions("w", "v").mapInArrow(twice, schema)
-    return found.where("kind <> 1").union(large), _places(wanted, length, anchor), level.where("copies > 0").select("id", "th", "copies")
+    schema, group = _schema(_RANGE | {"text": pa.binary()}), ["h", "part"]
+    order = [*group, "c1", "c2", "base"]
+    met = _contexts(wanted, length, anchor).repartition(*group).sortWithinPartitions(*order)
+    made = written(met.mapInArrow(_grouped(length, WIDTH), schema), "ranges")
+    done = made.where("kind = 0").drop("text")
+    # Parts of large groups: node is left, last the size, first the base (see `split`); w the second half of the name.
+    parts = made.where("kind = 1").select("h", F.col("w").alias("part"), "c1", "c2", F.col("first").alias("base"), F.col("node").alias("left"), F.col("last").alias("size"), "multi", "text")
+    if not parts.isEmpty():
+        met = parts.repartition(*group).sortWithinPartitions(*order)
+        made = written(met.mapInArrow(_grouped(length, 1), schema), "ranges")
+        done = done.union(made.where("kind = 0").drop("text"))
+
+        def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cols, _, again in runs(batches, ["h", "w"], "c1"):
+                again, zero = again | (cols["multi"] == 1), np.zeros(len(again), np.int64)
+                whole = cols | {"kind": zero, "node": zero, "last": cols["first"]}
+                yield _batch(_RANGE, *(whole[k][again] for k in _RANGE))
+
+        # Starts by themselves: all of a group are the same string.
+        single = made.where("kind = 1").select(*_RANGE)
+        done = done.union(single.repartition("h", "w").sortWithinPartitions("h", "w").mapInArrow(twice, _schema(_RANGE)))
+    return done, _places(wanted, length, anchor), level.where("copies > 0").select("id", "th", "copies")
 
 
 def _keyed(docs: DataFrame, *keep) -> DataFrame:
@@ -356,10 +398,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = ANCHOR, who
     n_spans counts maximal removed runs.
 
     Overlapping occurrences count; strings are judged on the input, not on what is left. Null and empty texts have no
-    bytes. Null doc_ids stay null; every row is a document of its own, so a repeated row removes all of its text if it
-    is long enough. What is left may begin or end inside a character, hence the binary column; with whole_characters, a
-    character of which a byte goes goes as a whole, and text is a string. Columns of docs with the names of new ones are
-    replaced.
+    bytes; texts of any length are looked at in pieces of bounded size. Null doc_ids stay null; every row is a document of
+    its own, so a repeated row removes all of its text if it is long enough. What is left may begin or end inside a
+    character, hence the binary column; with whole_characters, a character of which a byte goes goes as a whole, and text
+    is a string. Columns of docs with the names of new ones are replaced; an empty table gives no rows.
     """
     if not 0 < anchor < length:
         raise ValueError("the anchor must be shorter than the string")
@@ -367,36 +409,39 @@ def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = ANCHOR, who
     new = ("n_bytes", "n_removed", "n_spans")
     docs = docs.drop(*new)
     found, places, copies = _repeated(docs, length, anchor)
-    per = found.where("kind = 2 or multi = 0").groupBy("c1", "c2").agg(F.collect_list("first").alias("f"), F.collect_list("last").alias("l"))
+    # A table of its own, so that the join behind it may be split where very many documents share a context.
+    each, whole = F.collect_set(F.struct("first", "last")), F.array(F.struct(F.min("first").alias("first"), F.max("last").alias("last")))
+    per = found.groupBy("c1", "c2").agg(F.when(F.max("multi") == 1, whole).otherwise(each).alias("l"))
+    per = written(per.select("c1", "c2", "l.first", "l.last"), "contexts")
     moved = lambda c: F.flatten(F.transform("starts", lambda s: F.transform(c, lambda x: x + s)))
-    met = places.join(per, ["c1", "c2"]).select("id", "th", moved("f").alias("f"), moved("l").alias("l"))
-    spans_ = met.groupBy("id", "th").agg(F.flatten(F.collect_list("f")).alias("first"), F.flatten(F.collect_list("l")).alias("last"))
+    met = places.join(per, ["c1", "c2"]).select("id", "th", moved("first").alias("first"), moved("last").alias("last"))
+    spans_ = met.groupBy("id", "th").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
     known = spans_.join(copies, ["id", "th"], "full")
     kind = "string" if whole_characters else "binary"
     fields = [(f.name, kind if f.name == "text" else f.dataType.simpleString()) for f in docs.schema.fields]
     kinds = {"text": pa.string() if whole_characters else pa.binary()} | _LONGS("n_bytes n_removed n_spans")
 
+    @rested
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            texts, copies = b.column("text").cast(pa.binary()).to_pylist(), b.column("copies").to_pylist()
+            texts, copies = b.column("text").cast(pa.binary()), b.column("copies").to_pylist()
             (first, off), (last, _) = lists(b.column("first")), lists(b.column("last"))
             out: list[tuple] = []
-            for r, raw in enumerate(texts):
-                raw = raw or b""
-                n, left, removed, runs_ = len(raw), raw, 0, 0
+            for r in range(b.num_rows):
+                raw = memoryview(texts[r].as_buffer()) if texts[r].is_valid else memoryview(b"")
+                n, gone = len(raw), []
                 if copies[r] and n >= length:
-                    left, removed, runs_ = b"", n, 1
+                    gone = [(0, n)]
                 elif off[r + 1] > off[r]:
-                    d = np.zeros(n + 1, np.int64)
-                    np.add.at(d, first[off[r] : off[r + 1]], 1)
-                    np.add.at(d, last[off[r] : off[r + 1]] + length, -1)
-                    gone, raw = np.cumsum(d[:n]) > 0, np.frombuffer(raw, np.uint8)
-                    if whole_characters:
-                        character = np.cumsum((raw & 0xC0) != 0x80)
-                        gone = (np.bincount(character, gone) > 0)[character]
-                    left, removed = raw[~gone].tobytes(), int(gone.sum())
-                    runs_ = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                out.append((left.decode(errors="ignore") if whole_characters else left, n, removed, runs_))
+                    gone = merged(first[off[r] : off[r + 1]], last[off[r] : off[r + 1]] + length)
+                if whole_characters:
+                    gone = characters(raw, gone)
+                at, left = 0, []
+                for i, j in gone:
+                    left.append(raw[at:i])
+                    at = j
+                left = b"".join([*left, raw[at:]])
+                out.append((left.decode(errors="ignore") if whole_characters else left, n, n - len(left), len(gone)))
             made = dict(zip(kinds, (pa.array(c, t) for c, t in zip(zip(*out), kinds.values()))))
             cols = {name: made["text"] if name == "text" else b.column(f"c{k}") for k, (name, _) in enumerate(fields)} | {n: made[n] for n in new}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -406,6 +451,28 @@ def remove_repeats(docs: DataFrame, length: int = 200, anchor: int = ANCHOR, who
     return _keyed(docs, *keep).join(known, ["id", "th"], "left").mapInArrow(kept, schema)
 
 
+def merged(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Intervals [first, end) as disjoint ones that don't touch, in order."""
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], first[1:] > end[:-1]])
+    last = np.append(np.flatnonzero(new)[1:], len(first)) - 1
+    return list(zip(first[new].tolist(), end[last].tolist()))
+
+
+def characters(raw: memoryview, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The intervals widened to whole characters of UTF-8."""
+    inside = lambda k: k < len(raw) and raw[k] & 0xC0 == 0x80
+    wide = []
+    for i, j in gone:
+        while i and inside(i):
+            i -= 1
+        while inside(j):
+            j += 1
+        wide.append((i, j))
+    return merged(*(np.array(x) for x in zip(*wide))) if wide else wide
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
 
