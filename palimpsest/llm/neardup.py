@@ -3,6 +3,10 @@
 A document's set of word shingles gives minima under many hash functions. Bands of minima name candidates; the low bits
 of the minima, packed, estimate a candidate pair's similarity from the bits that agree, corrected for chance; what may
 reach the threshold is confirmed on the full sets. Equal sets count as one class, so copies never meet each other.
+
+Documents that share a band form a group around the least of them, its pivot. A group is judged in blocks of bounded
+size, each with the pivot, so work is in proportion to the members. Only members that this leaves outside the pivot's
+component meet the other blocks: first through new pivots, and what is left in the end in pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat, grams, lower, mix, odd, prefix, rows_of, ship, spans, words, written
+from .common import chunks, flat, grams, lower, mix, odd, rested, rows_of, ship, word_hashes, written
 from .components import connected
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -22,15 +26,15 @@ BANDS, ROWS, BITS = 32, 5, 4
 SLACK = 5.0
 #: Bytes of shingle hashes in one block of a group.
 BLOCK = 8 << 20
+#: Rounds of new pivots (and one of pairs) for members of large groups that their pivot is not linked with.
+ROUNDS = 3
 _KEYS = ("pivot", "i", "j")
 
 
 def shingles(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, and the offsets of the texts."""
     data, off = flat(col)
-    data = lower(data)
-    start, end, first = words(data, off)
-    h = spans(prefix(data), start, end)
+    h, first = word_hashes(lower(data), off)
     count = np.diff(first)
     row = rows_of(first)
     g = np.zeros(len(h), np.uint64)
@@ -83,6 +87,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """id, th, n, f1, f2, keys, sig: of each row with a doc_id, its set's size and 128-bit fingerprint, one key for each
     band and the packed signature; th is a hash of the text as it is."""
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = odd(ROWS, 19)
         for b in chunks(batches, most=1 << 18):
@@ -116,10 +121,11 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 class Group:
-    """Documents that share a pivot, or two blocks of them; finds links that join components."""
+    """Documents of one block, the pivot among them; finds links that join components. side: 0 if a document is to meet
+    all others, 1 if it is to meet those of side 0 alone; label: components known before."""
 
-    def __init__(self, ids: np.ndarray, blocks: np.ndarray, sig: np.ndarray, u: np.ndarray, off: np.ndarray):
-        self.ids, self.blocks, self.sig, self.off = ids, blocks, sig, off
+    def __init__(self, ids: np.ndarray, label: np.ndarray, side: np.ndarray, head: np.ndarray, sig: np.ndarray, u: np.ndarray, off: np.ndarray):
+        self.ids, self.label, self.side, self.head, self.sig, self.off = ids, label.copy(), side, head, sig, off
         self.n = np.diff(off)
         vocabulary, code = np.unique(u, return_inverse=True)
         self.code, self.mark = code, np.zeros(len(vocabulary), bool)
@@ -131,26 +137,24 @@ class Group:
         self.mark[self.code[self.off[x] : self.off[x + 1]]] = False
         return got
 
-    def links(self, pivot: int, percent: int) -> Iterator[tuple[int, int]]:
+    def links(self, percent: int) -> Iterator[tuple[int, int]]:
         """Enough of the true links to connect what all of them connect."""
-        m, t = len(self.ids), percent / 100
-        label = np.arange(m)
+        m, t, label = len(self.ids), percent / 100, self.label
         p = t + (1 - t) / (1 << BITS)
         least = t - SLACK * np.sqrt(p * (1 - p) / (BANDS * ROWS)) / (1 - 1 / (1 << BITS))
-        two = self.blocks.min() != self.blocks.max()
         far = None
-        order = np.argsort(self.ids != pivot, kind="stable")  # the pivot first: it links most of its group
+        order = np.lexsort((~self.head, self.side))  # the pivot first: it links most of its group
         for k, x in enumerate(order):
+            if self.side[x]:
+                break
             ys = order[k + 1 :]
             ok = (label[ys] != label[x]) & (100 * np.minimum(self.n[ys], self.n[x]) >= percent * np.maximum(self.n[ys], self.n[x]))
-            if two:
-                ok &= self.blocks[ys] != self.blocks[x]
             if far is not None:  # distances to the pivot differ by no more than a link's own
                 ok &= np.abs(far[ys] - far[x]) <= 1 - t + 1e-9
             ys = ys[ok]
             if not len(ys):
                 continue
-            if k == 0 and self.ids[x] == pivot and not two and m > 8:
+            if k == 0 and self.head[x] and m > 8:
                 both = self.common(x, np.arange(m))
                 far = 1 - both / np.maximum(self.n + self.n[x] - both, 1)
             ys = ys[agreement(self.sig[x], self.sig[ys]) >= least]
@@ -161,20 +165,22 @@ class Group:
                     label[label == label[y]] = label[x]
 
 
-def _confirmed(shingle: int, percent: int):
+def _links(work: DataFrame, text: DataFrame, single: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) found in blocks. work: pivot, i and j name a block; id, comp, side and head are as `Group` has them."""
+
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            ids = t.column("id").to_numpy()
-            _, one = np.unique(ids, return_index=True)
+            t = pa.Table.from_batches(held).combine_chunks()
+            _, one = np.unique(np.stack([t.column(c).to_numpy() for c in ("id", "th")]), axis=1, return_index=True)
             if len(one) > 1:
-                t = t.take(pa.array(one))
+                t = t.take(pa.array(one)).combine_chunks().to_batches()[0]
                 u, off = shingles(t.column("text"), shingle)
                 sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(one), -1)
-                g = Group(t.column("id").to_numpy(), t.column("block").to_numpy(), sig, u, off)
-                found = np.array(list(g.links(t.column("pivot")[0].as_py(), percent)), np.int64).reshape(-1, 2)
+                ids, comp, side, head = (t.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "side", "head"))
+                found = np.array(list(Group(ids, comp, side, head, sig, u, off).links(percent)), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
         for b in batches:
@@ -190,7 +196,48 @@ def _confirmed(shingle: int, percent: int):
         if held:
             yield from done()
 
-    return run
+    columns = [*_KEYS, "comp", "side", "head"]
+    own = work.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("tasks")).join(single.select("id", "th", "sig"), "id")
+    full = text.join(own, ["id", "th"]).select("id", "th", "text", "sig", F.explode("tasks").alias("t")).select("id", "th", "text", "sig", "t.*")
+    return full.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "side", "id").mapInArrow(run, "u long, v long")
+
+
+def _zero():
+    return F.lit(0).cast("long")
+
+
+def _around(members: DataFrame, pivot: str) -> DataFrame:
+    """Work that deals members (id, comp, pivot, nb) out to nb blocks, with the one that `pivot` names in each."""
+    head = F.col("id") == F.col(pivot)
+    blocks = F.when(head, F.sequence(_zero(), F.col("nb") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("nb"))))
+    return members.select("pivot", F.explode(blocks).alias("i"), _zero().alias("j"), "id", "comp", _zero().alias("side"), head.alias("head"))
+
+
+def _all_links(members: DataFrame, text: DataFrame, single: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, component) from members (id, n, pivot) of groups."""
+    size = F.ceil(F.sum("n") * 8 / BLOCK).cast("long")
+    large = written(members.groupBy("pivot").agg(size.alias("nb")).where("nb > 1"), "sizes")
+    start = members.join(large, "pivot", "left").select("id", "pivot", F.col("id").alias("comp"), F.coalesce("nb", F.lit(1).cast("long")).alias("nb"))
+    roots = connected(_links(_around(start, "pivot"), text, single, shingle, percent))
+    wide = None if large.isEmpty() else written(members.join(large, "pivot"), "large")
+    for k in range(ROUNDS if wide else 0):
+        state = wide.join(roots.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        main = written(state.where("id = pivot").select("pivot", F.col("comp").alias("main")), "main")
+        state = written(state.join(main, "pivot"), "state")
+        rest = state.where("comp <> main")
+        if rest.isEmpty():
+            break
+        if k < ROUNDS - 1:
+            second = written(rest.groupBy("pivot").agg(F.min(F.struct("id", "comp")).alias("s")).select("pivot", F.col("s.id").alias("second"), F.col("s.comp").alias("own")), "pivots")
+            work = _around(state.join(second, "pivot").where("comp <> own or id = second"), "second")
+        else:
+            nr = written(rest.groupBy("pivot").agg(size.alias("nr")), "sizes")
+            every, own = lambda n: F.explode(F.sequence(_zero(), F.col(n) - 1)), lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+            columns = lambda i, j, side: ["pivot", "id", "comp", i.alias("i"), j.alias("j"), F.lit(side).cast("long").alias("side"), F.lit(False).alias("head")]
+            left = rest.join(nr, "pivot").select(*columns(own("nr"), every("nb"), 0))
+            work = left.union(state.join(nr, "pivot").select(*columns(every("nr"), own("nb"), 1)))
+        roots = connected(roots.toDF("u", "v").union(_links(work, text, single, shingle, percent)))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -218,9 +265,11 @@ def judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     th is xxhash64 of the text. Texts are lower-cased (A-Z) and split at ASCII white space; a set holds the distinct shingles of `shingle` words,
     or the whole sequence if it is shorter. Null, empty and blank texts have an empty set and no links. Rows without a
     doc_id are linked to nothing: their component_id is null and they are kept. Repeated rows have one result each,
-    the same; rows that share a doc_id but not the text are judged by their texts. Other columns are ignored. Every
-    pair that a band names is judged, in blocks of bounded size; a true pair at 0.8 escapes all bands with a chance
-    under 1e-5, and the estimate's slack with one under 1e-6.
+    the same; rows that share a doc_id but not the text are judged by their texts, and links of either hold for the
+    doc_id. Other columns are ignored; an empty table gives no rows. Of a text of any length, only its shingles' hashes
+    are in memory beside it. Every pair that a band names and that may join two components is judged, in blocks of
+    bounded size; a true pair at 0.8 escapes all bands with a chance under 1e-5, and the estimate's slack with one under
+    1e-6.
     """
     ship(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
@@ -232,14 +281,7 @@ def judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     bands = single.select("id", "n", F.explode("keys").alias("key"))
     pivots = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = written(bands.join(pivots, "key").select("id", "n", "pivot").distinct(), "members")
-    sizes = members.groupBy("pivot").agg(F.ceil(F.sum("n") * 8 / BLOCK).cast("long").alias("nb"))
-    tasks = members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")))
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    tasks = tasks.select("id", "pivot", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    own = tasks.groupBy("id").agg(F.collect_list(F.struct("pivot", "i", "j", "block")).alias("tasks")).join(single.select("id", "th", "sig"), "id")
-    full = text.join(own, ["id", "th"]).select("id", "text", "sig", F.explode("tasks").alias("t")).select("id", "text", "sig", "t.*")
-    links = full.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "id").mapInArrow(_confirmed(shingle, percent), "u long, v long")
-    roots = connected(links)
+    roots = _all_links(members, text, single, shingle, percent)
     ids = classes.join(roots, classes.least == roots.node, "left").select("f1", "f2", "n", F.coalesce("component", "least").alias("component"))
     out = made.select("id", "th", "n", "f1", "f2").join(ids, ["f1", "f2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))

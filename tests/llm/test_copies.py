@@ -48,6 +48,56 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, neardup.near_duplicates(_frame(spark, rows), 4).collect())) == sorted(neardup.brute(rows, 4))
 
 
+def test_a_large_group_costs_in_proportion(spark, monkeypatch):
+    r = random.Random(1)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        w[r.randrange(60)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    work, links = [], neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda w, *rest: (work.append(w.count()), links(w, *rest))[1])
+    for block in (neardup.BLOCK, 40_000):  # one block, and some 35
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        work.clear()
+        got = neardup.near_duplicates(_frame(spark, rows), 4).collect()
+        assert {x.component_id for x in got} == {0}
+        members = spark.read.parquet(*[x for x in _tables(spark) if "/members-" in x][-1:]).count()
+        assert sum(work) <= 1.1 * members + 2000
+
+
+def _tables(spark):
+    from palimpsest.llm import common
+
+    return common._MADE[spark.sparkContext.applicationId]
+
+
+def test_groups_whose_pivot_is_not_linked_with_all(spark, monkeypatch):
+    """Chains and separate clusters under one band: every round has something left, and the last one pairs it."""
+    r = random.Random(2)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for c in range(6):
+        own = list(base)
+        for k in r.sample(range(40), 3 * c):
+            own[k] = f"c{c}x{k}"
+        for i in range(25):
+            w = list(own)
+            for k in r.sample(range(40), i % 4):
+                w[k] = f"c{c}i{i}k{k}"
+            rows.append((100 * c + i, " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK", 1500)
+    assert sorted(map(tuple, neardup.near_duplicates(_frame(spark, rows), 4).collect())) == sorted(neardup.brute(rows, 4))
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (9, a + " more"), (10, b + " more"), (11, "else " * 9)]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(_frame(spark, rows), 4).collect()}
+    assert got == {5: 5, 9: 5, 10: 5, 11: 11}
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (5, "q r s t u v")]
     got = sorted(map(tuple, neardup.near_duplicates(_frame(spark, rows), 4).collect()))
@@ -95,7 +145,7 @@ def test_repeat_groups(spark, monkeypatch, length, anchor, group):
     got = {}
     for x in groups.collect():
         for k in range(x["last"] - x["first"] + 1):
-            got.setdefault((x.h, x.node, x.w, x.v, k), []).extend((i, at + x["first"] + k) for i, at in starts[x.c1, x.c2])
+            got.setdefault((x.h, x.w, x.node, k), []).extend((i, at + x["first"] + k) for i, at in starts[x.c1, x.c2])
     want = {}
     for i, raw in texts.items():
         for at in range(len(raw) - length + 1):
@@ -129,3 +179,66 @@ def test_written_tables_can_be_cleared(spark):
     common.clear(spark)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def test_very_long_texts(spark):
+    """Texts of more than a block: repeats and windows across the places where they are cut, words of any length."""
+    from palimpsest.llm import common
+
+    r = random.Random(4)
+    n = common.BLOCK
+    words = [f"{r.getrandbits(40):x}" for _ in range(n // 5)]
+    long = " ".join(words)
+    assert len(long) > 2 * n
+    at = n - 150
+    part = long[at : at + 900]
+    rows = [(1, long), (2, f"before {part} after"), (3, "y" * (n + 77) + "z"), (4, "x" * (n + 50)), (5, "no repeats here")]
+    got = {x.doc_id: x for x in repeats.digest(repeats.remove_repeats(_frame(spark, rows))).collect()}
+    assert got[2].n_removed in (900, 901, 902) and got[1].n_removed == got[2].n_removed and got[1].n_spans == 1
+    assert got[3].n_removed == n + 77 and got[4].n_removed == n + 50 and got[5].n_removed == 0
+    whole = part.split()[1:-1]
+    got = {x.doc_id: x for x in substrings.digest(substrings.remove_windows(_frame(spark, rows), 13)).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == len(whole) and got[1].n_words == len(words) and got[3].n_words == 1
+    rows += [(6, long + " more"), (7, "y" * (n + 77) + "z"), (8, "y" * (n + 78))]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(_frame(spark, rows), 4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1, 7: 3, 8: 8}
+
+
+def test_pieces_hold_every_string_once():
+    import pyarrow as pa
+
+    from palimpsest.llm import common
+
+    texts = ["abc", None, "0123456789" * 3, "", "xyz" * 7]
+    b = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["id", "text"])
+    for overlap, most in ((3, 7), (3, 8), (0, 4), (5, 100)):
+        got = []
+        for part, begin in common.pieces(b, overlap, most):
+            for i, t, at in zip(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), begin.tolist()):
+                assert len(t or b"") <= most
+                got += [(i, at + k, t[k : k + overlap + 1]) for k in range(len(t or b"") - overlap)]
+        want = [(i, k, t[k : k + overlap + 1].encode()) for i, t in enumerate(texts) if t for k in range(len(t) - overlap)]
+        assert sorted(got) == sorted(want)
+
+
+def test_seen_lets_two_rows_of_a_key_through():
+    from palimpsest.llm.common import Seen
+
+    rng = np.random.default_rng(0)
+    for bits in (2, 12):
+        twice, later, sent, rows = Seen(bits), Seen(bits), [], []
+        for _ in range(60):
+            n = rng.integers(0, 30)
+            key, id_ = rng.integers(0, 25, n).astype(np.uint64), rng.integers(0, 9, n)
+            known, behind = twice.twice(key, id_), later.later(key, id_)
+            rows += zip(key.tolist(), id_.tolist(), known.tolist(), behind.tolist())
+        ids, out, least = {}, {}, {}
+        for k, i, known, behind in rows:
+            ids.setdefault(k, set()).add(i)
+            if not known:
+                out.setdefault(k, set()).add(i)
+        for k, i, known, behind in rows:
+            assert not known or out[k] - {i}  # a row that is held back has another that is sent
+            assert not behind or min(ids[k]) < i
+        assert all(min(len(ids[k]), 2) <= len(out[k]) for k in ids)
+        assert all(min(ids[k]) in {i for kk, i, _, behind in rows if kk == k and not behind} for k in ids)
