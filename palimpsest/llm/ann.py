@@ -1,26 +1,32 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-A bounded sample is cut, by balanced halving, into clusters; their centroids are joined in a small graph that every
-executor holds in memory. Each vector goes to the lists of the centroids almost as near as its nearest one, so vectors
-on a boundary stand in several lists. A query searches the graph for centroids, keeps the lists whose distance is within
-a ratio of the nearest one's, and is compared with what these hold. Equal vectors count as one, with their least ids.
+A sample that grows with the table is cut, by balanced halving, into clusters; their centroids are joined in a graph that
+every executor holds in memory. Each vector goes to the lists of the centroids almost as near as its nearest one, so
+vectors on a boundary stand in several lists. A query searches the graph for centroids, keeps the lists whose distance is
+within a ratio of the nearest one's, and is compared with what these hold. Batches of vectors search together. Equal
+vectors are one class, compared once, whose rows all count as neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import rested, ship, written
 
 #: Vectors in one block of a posting list; longer lists have several.
 BLOCK = 2048
+#: Vectors that the driver fits (coarse) centroids on, and that one task fits finer ones on.
+FIT = 16384
+#: Sampled vectors for each centroid.
+EACH = 32
+#: Centroids at most, as every executor holds them: lists grow with tables beyond MOST * list_size vectors.
+MOST = 1 << 18
 
 
 def balanced(x: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
@@ -43,200 +49,287 @@ def balanced(x: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     return np.array(out)
 
 
+def distances(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distances of all of q to all of at, but for rounding."""
+    return np.maximum((q**2).sum(1)[:, None] + (at**2).sum(1) - 2 * (q @ at.T), 0)
+
+
+def neighbours(at: np.ndarray, rows: np.ndarray, degree: int) -> np.ndarray:
+    """For centroids given by their numbers, their nearest others and the next in order, which keeps the graph in one
+    piece."""
+    k = min(degree, len(at) - 1)
+    out = np.empty((len(rows), k + 1), np.int32)
+    out[:, k] = (rows + 1) % len(at)
+    for i in range(0, len(rows), 256):
+        own = rows[i : i + 256]
+        d = distances(at[own], at)
+        d[np.arange(len(own)), own] = np.inf
+        if k:
+            out[i : i + 256, :k] = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return out
+
+
 @dataclass
 class Centroids:
-    """Centroids, and for each its nearest others; searched best first."""
+    """Centroids, and for each its neighbours; searched best first, a batch of vectors at a time."""
 
     at: np.ndarray
     near: np.ndarray
 
-    @classmethod
-    def of(cls, at: np.ndarray, degree: int = 24) -> Centroids:
-        n = len(at)
-        near = np.zeros((n, min(degree, max(n - 1, 0)) + 1), np.int64)
-        for i in range(n):  # the last neighbour is the next in order, which keeps the graph in one piece
-            d = ((at - at[i]) ** 2).sum(1)
-            d[i] = np.inf
-            k = near.shape[1] - 1
-            near[i, :k] = np.argpartition(d, k - 1)[:k] if k else []
-            near[i, k] = (i + 1) % n
-        return cls(at, near)
-
-    def search(self, q: np.ndarray, most: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `most` nearest centroids found, and their squared distances, nearest first."""
-        starts = np.linspace(0, len(self.at) - 1, min(len(self.at), 16)).astype(int)
-        starts = np.unique(starts)
-        d = ((self.at[starts] - q) ** 2).sum(1)
-        seen = np.zeros(len(self.at), bool)
-        seen[starts] = True
-        todo, best = [], []
-        for i, x in zip(starts.tolist(), d.tolist()):
-            heappush(todo, (x, i))
-            heappush(best, (-x, i))
-        while todo:
-            x, i = heappop(todo)
-            if len(best) >= beam and x > -best[0][0]:
+    def batch(self) -> int:
+        """How many vectors may search together: what each has seen takes 5 bytes a centroid."""
+        return int(np.clip((1 << 24) // max(len(self.at), 1), 16, 1024))
+
+    def search(self, q: np.ndarray, most: int, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the `most` nearest centroids found for each vector, and their squared distances, nearest first; -1
+        and infinity where there are fewer. Each step looks at the neighbours of the `wide` nearest centroids of the beam
+        not looked at yet."""
+        q, n = np.asarray(q, np.float32), len(self.at)
+        beam = max(beam, most)
+        hubs = np.unique(np.linspace(0, n - 1, min(n, 256)).astype(np.int64))
+        d = distances(q, self.at[hubs])
+        start = np.argsort(d, axis=1, kind="stable")[:, : min(8, len(hubs), beam)]
+        rows = np.arange(len(q))[:, None]
+        ids, dist = np.full((len(q), beam), -1), np.full((len(q), beam), np.inf, np.float32)
+        ids[:, : start.shape[1]], dist[:, : start.shape[1]] = hubs[start], d[rows, start]
+        fresh = ids >= 0  # not looked at yet
+        seen, turn = np.zeros((len(q), n), bool), np.empty((len(q), n), np.int32)
+        seen[rows, hubs[start]] = True
+        while True:
+            live = np.flatnonzero(fresh.any(1))
+            if not len(live):
                 break
-            new = self.near[i][~seen[self.near[i]]]
-            new = np.unique(new)
-            seen[new] = True
-            for j, y in zip(new.tolist(), ((self.at[new] - q) ** 2).sum(1).tolist()):
-                if len(best) < beam or y < -best[0][0]:
-                    heappush(todo, (y, j))
-                    heappush(best, (-y, j))
-                    if len(best) > beam:
-                        heappop(best)
-        found = sorted((-x, i) for x, i in best)[:most]
-        return np.array([i for _, i in found], np.int64), np.array([x for x, _ in found])
-
-
-def _vectors(col: pa.Array, width: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-
-
-def usable(vectors: DataFrame, vec_id: str, embedding: str, width: int | None = None) -> DataFrame:
-    """(vec_id, v) of the vectors that take part: with an id, not null, not zero, all components finite, of the given
-    width."""
-    v = F.col(embedding).cast("array<double>")
+            waiting = np.where(fresh[live], dist[live], np.inf)
+            pick = np.argpartition(waiting, min(wide, beam) - 1, axis=1)[:, : min(wide, beam)]
+            ok = np.isfinite(np.take_along_axis(waiting, pick, 1))
+            fresh[live[:, None], pick] = False
+            r, c = np.nonzero(ok)
+            to = self.near[ids[live[r], pick[r, c]]]
+            r, to = np.repeat(r, to.shape[1]), to.ravel()
+            new = ~seen[live[r], to]
+            r, to = r[new], to[new]
+            turn[live[r], to] = np.arange(len(r), dtype=np.int32)  # of one seen twice in this step, the last counts
+            new = turn[live[r], to] == np.arange(len(r))
+            r, to = r[new], to[new]
+            seen[live[r], to] = True
+            away = ((self.at[to] - q[live[r]]) ** 2).sum(1)
+            # Into the beam: what is new, padded to the widest row.
+            count = np.bincount(r, minlength=len(live))
+            place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            more_ids, more = np.full((len(live), count.max(initial=0)), -1), np.full((len(live), count.max(initial=0)), np.inf, np.float32)
+            more_ids[r, place], more[r, place] = to, away
+            all_d = np.concatenate([dist[live], more], 1)
+            best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+            dist[live] = np.take_along_axis(all_d, best, 1)
+            ids[live] = np.take_along_axis(np.concatenate([ids[live], more_ids], 1), best, 1)
+            fresh[live] = np.take_along_axis(np.concatenate([fresh[live], more_ids >= 0], 1), best, 1)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+
+
+def _vectors(col: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
+
+
+def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, v, a, b) of the rows that take part: with an id, not null, not zero, all components finite. a and b name
+    equal vectors, by 128 bits."""
+    kind = "array<float>" if vectors.schema[embedding].dataType.elementType.typeName() == "float" else "array<double>"
+    v = F.col(embedding).cast(kind)
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     ok = F.col(vec_id).isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    if width is not None:
-        ok &= F.size(v) == width
-    return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    zero = F.transform(v, lambda x: F.when(x == 0, F.lit(0)).otherwise(x)).cast(kind)  # no negative zeros
+    some = vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(vec_id).cast("long").alias("vec_id"), zero.alias("v"))
+    return some.withColumn("a", F.xxhash64("v")).withColumn("b", F.xxhash64(F.lit(1), "v"))
 
 
 @dataclass
 class Index:
-    """lists: (list, blocks, vid, v), blocks being how many blocks the list has; blocks: (list, blocks), one row for each
-    list, so no more rows than the sample had; classes: (vid, vec_id), the least ids of each group of equal vectors, vid
-    being the very least."""
+    """lists: (list, blocks, a, b, vid, v), blocks being how many blocks the list has; blocks: (list, blocks), one row for
+    each list; classes: (a, b, vec_id, copy), the k + 1 least ids of each class of equal vectors, vid being the very least;
+    copy numbers rows that share the id too."""
 
     centroids: Centroids
     lists: DataFrame
     blocks: DataFrame
     classes: DataFrame
-    vectors: DataFrame
     width: int
     k: int
 
 
-def build(vectors: DataFrame, k: int, list_size: int = 256, sample: int = 32768, closure: float = 1.15, copies: int = 6) -> Index:
-    """An index for up to k neighbours. Centroids are fitted on at most `sample` vectors, chosen by a hash of the id;
-    every vector is indexed, in up to `copies` lists whose centroids are within `closure` times the distance of its
-    nearest one."""
+def _sampled(classes: DataFrame, share: float) -> DataFrame:
+    return classes if share >= 1 else classes.where(F.pmod(F.col("b"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def fit(classes: DataFrame, total: int, width: int, list_size: int) -> np.ndarray:
+    """Centroids, one for list_size classes, up to MOST. Up to FIT / EACH of them the driver fits on FIT classes at most,
+    chosen by their hash; of more, it fits coarse ones, and tasks fit those of each coarse cell on EACH classes for each
+    centroid, a cell in parts of FIT."""
+    spark = classes.sparkSession
+    vectors = lambda df: (lambda t: _vectors(t.column("v").combine_chunks(), width, np.float32) if t.num_rows else np.zeros((0, width), np.float32))(df.select("v").toArrow())
+    x = vectors(_sampled(classes, FIT / max(total, 1)).orderBy("b", "a"))
+    want = min(max(total // list_size, 1), MOST)
+    if want * EACH <= FIT or len(x) == total:
+        return balanced(x, max(1, -(-len(x) // want))) if len(x) else x
+    coarse = balanced(x, max(1, len(x) * 256 // want))
+    share = min(1.0, want * EACH / total)
+    held = spark.sparkContext.broadcast(coarse)
+
+    @rested
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = distances(_vectors(b.column("v"), width, np.float32), held.value).argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int64)), b.column("a"), b.column("v")], names=["cell", "a", "v"])
+
+    cells = written(_sampled(classes, share).select("a", "v").mapInArrow(cell, f"cell long, a long, v {classes.schema['v'].dataType.simpleString()}"), "cells")
+    parts = written(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / FIT).cast("long").alias("parts")), "parts")
+    group = cells.join(F.broadcast(parts), "cell").withColumn("part", F.pmod("a", "parts"))  # one row a coarse centroid, FIT at most
+
+    def finer(t: pa.Table) -> pa.Table:
+        made = balanced(_vectors(t.column("v").combine_chunks(), width, np.float32), EACH)
+        return pa.table({"v": pa.array(list(made.astype(np.float32)), pa.list_(pa.float32()))})
+
+    return vectors(group.groupBy("cell", "part").applyInArrow(finer, "v array<float>"))
+
+
+def graph(spark, at: np.ndarray, degree: int = 24) -> Centroids:
+    """Centroids joined to their nearest ones; where there are many, tasks look for these."""
+    if len(at) <= 4096:
+        return Centroids(at, neighbours(at, np.arange(len(at)), degree) if len(at) else np.zeros((0, 1), np.int32))
+    held = spark.sparkContext.broadcast(at)
+
+    @rested
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("id").to_numpy()
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(neighbours(held.value, rows, degree)), pa.list_(pa.int32()))], names=["id", "near"])
+
+    t = spark.range(len(at)).mapInArrow(run, "id long, near array<int>").toArrow().sort_by("id")
+    return Centroids(at, t.column("near").combine_chunks().flatten().to_numpy().reshape(len(at), -1))
+
+
+def build(vectors: DataFrame, k: int, list_size: int = 256, closure: float = 1.15, copies: int = 6) -> Index:
+    """An index for up to k neighbours over usable vectors of one width. Every vector is indexed, in up to `copies` lists
+    whose centroids are within `closure` times the distance of its nearest one."""
     spark = ship(vectors.sparkSession)
-    widths = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width, total = (widths.w, widths["count"]) if widths else (0, 0)
-    vectors = vectors.where(F.size("v") == width)
-    first = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-    x = np.array([r.v for r in first], np.float64).reshape(len(first), width)
-    x = np.unique(x, axis=0) if len(x) else x
-    size = max(8, round(list_size * len(x) / max(total, len(x), 1)))
-    centroids = Centroids.of(balanced(x, size)) if len(x) else Centroids(np.zeros((0, width)), np.zeros((0, 1), np.int64))
-    held = spark.sparkContext.broadcast(centroids)
     # k + 1 least ids of equal vectors: a query may be one of them. Ranked before the shuffle too, so none gathers a group.
-    w = Window.partitionBy("key").orderBy("vec_id")
-    key = F.sha2(F.to_json("v"), 256)
-    ranked = vectors.withColumn("key", key).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
-    ranked = written(ranked.withColumn("vid", F.min("vec_id").over(Window.partitionBy("key"))), "classes")
-    classes = ranked.select("vid", "vec_id")
+    w = Window.partitionBy("a", "b").orderBy("vec_id")
+    ranked = written(vectors.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1), "classes")
+    classes = ranked.select("a", "b", "vec_id", F.row_number().over(Window.partitionBy("a", "b", "vec_id").orderBy("n")).alias("copy"))
+    single = ranked.where("n = 1").select("a", "b", F.col("vec_id").alias("vid"), "v")
+    one = single.agg(F.count(F.lit(1)).alias("total"), F.max(F.size("v")).alias("width")).first()
+    width, kind = one.width or 0, vectors.schema["v"].dataType.simpleString()
+    centroids = graph(spark, fit(single, one.total, width, list_size))
+    held = spark.sparkContext.broadcast(centroids)
 
+    @rested
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = _vectors(b.column("v"), width)
-            lists, rows = [], []
-            for r, q in enumerate(v):
-                i, d = c.search(q, copies, 32)
-                chosen = i[d <= closure**2 * d[0] + 1e-30].tolist()
-                lists += chosen
-                rows += [r] * len(chosen)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), b.column("vid").take(take), b.column("v").take(take)], names=["list", "vid", "v"])
-
-    lists = ranked.where("vec_id = vid").select("vid", "v").mapInArrow(assign, "list long, vid long, v array<double>")
-    lists = written(lists, "lists")
-    blocks = lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    return Index(centroids, lists.join(F.broadcast(blocks), "list"), blocks, classes, vectors, width, k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, c.batch()):
+                b = batch.slice(at, c.batch())
+                lists, d = c.search(_vectors(b.column("v"), width, np.float32), copies, 16)
+                row, place = np.nonzero(np.isfinite(d) & (d <= closure**2 * d[:, :1] + 1e-12))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(lists[row, place].astype(np.int64)), *(b.column(n).take(take) for n in ("a", "b", "vid", "v"))], names=["list", "a", "b", "vid", "v"])
+
+    lists = written(single.mapInArrow(assign, f"list long, a long, b long, vid long, v {kind}"), "lists")
+    blocks = written(lists.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "blocks")
+    return Index(centroids, lists, blocks, classes, width, k)
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int = 48, ratio: float = 1.6, least: int = 8) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, v), itself left out, by Euclidean
+    """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, v, a, b), its own row left out, by Euclidean
     distance in double precision; ties go to the smaller vec_id. The `least` nearest lists are read, and of the next ones,
     up to `probes`, those whose centroid is within `ratio` times the distance of the nearest."""
     if k > index.k:
         raise ValueError("the index was built for fewer neighbours")
     spark, width = queries.sparkSession, index.width
     held = spark.sparkContext.broadcast(index.centroids)
+    kind = queries.schema["v"].dataType.simpleString()
+    own = ["query_id", "qa", "qb"]
 
+    @rested
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
-        for b in batches:
-            if not b.num_rows or not len(c.at):
-                continue
-            v = _vectors(b.column("v"), width)
-            lists, rows = [], []
-            for r, q in enumerate(v):
-                i, d = c.search(q, probes, 2 * probes)
-                own = i[(d <= ratio**2 * d[0] + 1e-30) | (np.arange(len(d)) < least)].tolist()
-                lists += own
-                rows += [r] * len(own)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), b.column("vec_id").take(take), b.column("v").take(take)], names=["list", "query_id", "q"])
-
-    asked = queries.where(F.size("v") == width).select("vec_id", "v").mapInArrow(probe, "list long, query_id long, q array<double>")
-    asked = written(asked, "probes")
+        for batch in batches if len(c.at) else ():
+            for at in range(0, batch.num_rows, c.batch()):
+                b = batch.slice(at, c.batch())
+                lists, d = c.search(_vectors(b.column("v"), width, np.float32), probes, 2 * probes)
+                near = np.isfinite(d) & ((d <= ratio**2 * d[:, :1] + 1e-12) | (np.arange(d.shape[1]) < least))
+                row, place = np.nonzero(near)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(lists[row, place].astype(np.int64)), *(b.column(n).take(take) for n in ("vec_id", "a", "b", "v"))], names=["list", *own, "q"])
+
+    asked = queries.groupBy("vec_id", "a", "b").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("times"))
+    asked = written(asked, "queries")
+    times = asked.select(F.col("vec_id").alias("query_id"), F.col("a").alias("qa"), F.col("b").alias("qb"), "times")
+    asked = written(asked.select("vec_id", "a", "b", "v").mapInArrow(probe, f"list long, query_id long, qa long, qb long, q {kind}"), "probes")
     # Every block of a list meets every block of its queries; both are of bounded size, however many ask for one list.
     shares = asked.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("shares"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    sizes = F.broadcast(index.blocks.join(shares, "list"))
-    left = index.lists.drop("blocks").join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vid"), "blocks")).withColumn("share", every("shares"))
-    right = asked.join(sizes, "list").withColumn("share", F.pmod(F.xxhash64("query_id"), "shares")).withColumn("block", every("blocks"))
+    sizes = written(index.blocks.join(shares, "list"), "sizes")
+    left = index.lists.join(sizes, "list").withColumn("block", F.pmod("a", "blocks")).withColumn("share", every("shares"))
+    right = asked.join(sizes, "list").withColumn("share", F.pmod(F.xxhash64(*own), "shares")).withColumn("block", every("blocks"))
     part = ["list", "block", "share"]
     keep = k + 1  # a query may meet itself
+    columns = [*own, "a", "b", "vid"]
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            v, vid = _vectors(left.column("v").combine_chunks(), width), left.column("vid").to_numpy()
-            for qid, q in zip(right.column("query_id").to_pylist(), _vectors(right.column("q").combine_chunks(), width)):
-                d = np.sqrt(((v - q) ** 2).sum(1))
-                at = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1]) if len(d) > keep else np.arange(len(d))
-                at = at[np.lexsort((vid[at], d[at]))[:keep]]
-                out += zip([qid] * len(at), vid[at].tolist(), d[at].tolist())
-        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate((("query_id", pa.int64()), ("vid", pa.int64()), ("score", pa.float64())))})
-
-    left, right = left.select(*part, "vid", "v"), right.select(*part, "query_id", "q")
-    met = left.groupBy(*part).cogroup(right.groupBy(*part)).applyInArrow(compare, "query_id long, vid long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vid")
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in [*columns, "score"]})
+        v, q = (_vectors(t.column(n).combine_chunks(), width) for t, n in ((left, "v"), (right, "q")))
+        near, vid = distances(q, v), left.column("vid").to_numpy()
+        if len(v) > keep:  # what rounding may hide is let through, and measured exactly
+            slack = 1e-9 * ((q**2).sum(1) + (v**2).sum(1).max())
+            row, at = np.nonzero(near <= (np.partition(near, keep - 1, axis=1)[:, keep - 1] + slack)[:, None])
+        else:
+            row, at = (x.ravel() for x in np.indices(near.shape))
+        score = np.concatenate([np.sqrt(np.cumsum((v[at[i : i + 65536]] - q[row[i : i + 65536]]) ** 2, axis=1)[:, -1]) for i in range(0, len(at), 65536)])
+        order = np.lexsort((vid[at], score, row))
+        row, at, score = row[order], at[order], score[order]
+        first = np.searchsorted(row, row)
+        some = np.arange(len(row)) - first < keep
+        row, at, score = row[some], at[some], score[some]
+        cols = [right.column(n).to_numpy()[row] for n in own] + [left.column(n).to_numpy()[at] for n in ("a", "b", "vid")]
+        return pa.table(dict(zip([*columns, "score"], [*cols, score])))
+
+    left, right = left.select(*part, "a", "b", "vid", "v"), right.select(*part, *own, "q")
+    met = left.groupBy(*part).cogroup(right.groupBy(*part)).applyInArrow(compare, ", ".join(f"{n} long" for n in columns) + ", score double")
+    best = Window.partitionBy(*own).orderBy("score", "vid")
     met = met.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).drop("n")
-    near = met.join(index.classes, "vid").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    near = near.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score")
-    return near.where(F.col("rank") <= k)
+    near = met.join(index.classes, ["a", "b"]).where("not (a = qa and b = qb and vec_id = query_id and copy = 1)")
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy("score", "vec_id"))
+    near = near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).join(times, own)
+    # Rows that share both id and vector have an answer each.
+    near = near.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return near.select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k nearest others of each vector whose id is divisible by `every`.
+    """The k nearest others of each row whose id is divisible by `every`.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those without an id
-    or of another width than most; with fewer than k candidates all are returned. Rows with one id count once, as the
-    least of their vectors; equal vectors have equal scores. An empty table gives no rows. Other columns are ignored.
+    or of another width than most; with fewer than k candidates all are returned. Every row is a candidate but the
+    query's own: rows that share an id, or the vector too, are neighbours of each other, and each has its answer. An empty
+    table gives no rows. Other columns are ignored.
     """
-    good = usable(vectors, vec_id, embedding).groupBy("vec_id").agg(F.min("v").alias("v"))
-    index = build(good, k)
-    return search(index, index.vectors.where(F.col("vec_id") % every == 0), k)
+    good = usable(vectors, vec_id, embedding)
+    width = good.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    good = good.where(F.size("v") == (width.w if width else 0))
+    return search(build(good, k), good.where(F.col("vec_id") % every == 0), k)
 
 
 def brute(rows: list[tuple], every: int, k: int) -> list[tuple]:
     """(query_id, rank, vec_id, score) by comparing all; for tests."""
-    good = {i: np.array(v, float) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)}
-    ids, x = np.array(sorted(good)), np.array([good[i] for i in sorted(good)])
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good])
     out = []
-    for q in ids[ids % every == 0]:
-        d = np.sqrt(((x - good[q]) ** 2).sum(1))
-        at = [a for a in np.lexsort((ids, d)) if ids[a] != q][:k]
-        out += [(int(q), n + 1, int(ids[a]), float(d[a])) for n, a in enumerate(at)]
+    for own, (q, v) in enumerate(good):
+        if q % every == 0:
+            d = np.sqrt(((x - v) ** 2).sum(1))
+            at = [a for a in np.lexsort((ids, d)) if a != own][:k]
+            out += [(int(q), n + 1, int(ids[a]), float(d[a])) for n, a in enumerate(at)]
     return out

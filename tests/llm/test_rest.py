@@ -20,7 +20,7 @@ def _docs(spark, rows):
 def test_nearest_small_is_exact(spark):
     r = np.random.default_rng(0)
     rows = [(i, r.normal(size=8).round(1).tolist()) for i in range(300)]
-    rows += [(1000 + i, rows[10][1]) for i in range(40)] + [(5000, None), (5100, []), (5200, [0.0] * 8), (5300, [1.0, None] * 4), (5400, [float("nan")] * 8), (5500, [float("inf")] * 8), (5600, [1.0] * 3), (None, rows[0][1]), (20, rows[20][1])]
+    rows += [(1000 + i, rows[10][1]) for i in range(40)] + [(5000, None), (5100, []), (5200, [0.0] * 8), (5300, [1.0, None] * 4), (5400, [float("nan")] * 8), (5500, [float("inf")] * 8), (5600, [1.0] * 3), (None, rows[0][1]), (20, rows[20][1]), (20, rows[21][1]), (1000, rows[11][1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = sorted((a, b, c, round(d, 5)) for a, b, c, d in ann.nearest(df, every=20, k=5).collect())
     f = lambda v: None if v is None else [None if c is None else float(np.float32(c)) for c in v]
@@ -37,6 +37,50 @@ def test_recall_on_the_table(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def _clustered(n, width, centres, seed=0):
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(centres, width))
+    return (c[r.integers(0, centres, n)] + 0.5 * r.normal(size=(n, width))).astype(np.float32)
+
+
+@pytest.mark.parametrize("fit", [16384, 1024])
+def test_recall_where_most_lists_are_skipped(spark, monkeypatch, fit):
+    """50,000 vectors, some 1,000 lists (fitted at once, or in cells): recall, and how few lists are read."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "FIT", fit)
+    x = _clustered(50_000, 24, 300)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    good = ann.usable(df, "vec_id", "embedding")
+    index = ann.build(good, 10, list_size=50 if fit == 1024 else 100)
+    lists = len(index.centroids.at)
+    assert lists >= 400 and index.lists.select("vid").distinct().count() == len(x)
+    got = ann.search(index, good.where("vec_id % 200 = 0"), 10).collect()
+    from palimpsest.llm import common
+
+    made = [p for p in common._MADE[spark.sparkContext.applicationId] if "/probes-" in p][-1]
+    read = spark.read.parquet(made).groupBy("query_id").count().agg(F.avg("count")).first()[0]
+    assert read < 0.15 * lists
+    found, q = {(r.query_id, r.vec_id) for r in got}, np.arange(0, len(x), 200)
+    d = ann.distances(x[q].astype(float), x.astype(float))
+    d[np.arange(len(q)), q] = np.inf
+    want = {(int(i), int(j)) for i, row in zip(q, np.argpartition(d, 9, axis=1)[:, :10]) for j in row}
+    assert len(found & want) / len(want) >= 0.9
+
+
+def test_the_graph_finds_near_centroids():
+    x = _clustered(20_000, 16, 200, 3)
+    c = ann.Centroids(x[:3000], ann.neighbours(x[:3000], np.arange(3000), 24))
+    q = x[3000:3400]
+    ids, d = c.search(q, 10, 32)
+    want = np.argsort(ann.distances(q, c.at), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, want)]) >= 0.9 and (np.diff(d, axis=1) >= 0).all()
+    ids, d = c.search(q, 10, 32, wide=1)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids, want)]) >= 0.85
+    tiny = ann.Centroids(x[:3], ann.neighbours(x[:3], np.arange(3), 24))
+    assert (tiny.search(q, 6, 8)[0] >= 0).sum(1).tolist() == [3] * 400
+
+
 # op3
 
 
