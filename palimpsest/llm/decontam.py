@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from .common import SPACE, chunks, flat, grams, lower, mix, odd, rested, ship, w
 #: ASCII characters other than letters and digits part words here, so punctuation and case don't matter.
 BREAK = SPACE.copy()
 BREAK[:128] |= np.array([not chr(c).isalnum() for c in range(128)])
-#: Bytes of test items in one index, which every executor holds; more items are searched shard by shard.
+#: Bytes of test items in one index; of more items, a task holds one index at a time.
 SHARD = 16 << 20
+#: Bytes of word hashes that a task holds while it goes through the indexes of many items.
+HELD = 32 << 20
 #: Ranges of items for which every passage's scores are bounded at once, before any list is walked.
 BOUNDS = 64
 _SCHEMA = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double, overlap double"
@@ -71,10 +74,22 @@ class Postings:
     tops: list[float] = field(default_factory=list)  # largest impact of each block
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many have words, words of one on average and at most, and in how many each of some terms is."""
+
+    items: int
+    average: float
+    longest: int
+    terms: np.ndarray
+    frequency: np.ndarray
+
+
 class Index:
-    """Items by term, with impacts scaled so that every item's threshold is 1."""
+    """Items by term, with impacts scaled so that every item's threshold is 1. Without statistics of all items, these are
+    all."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, overlap: float, k1: float = 1.2, b: float = 0.75, block: int = 8):
+    def __init__(self, items: list[tuple[int, str]], shingle: int, overlap: float, k1: float = 1.2, b: float = 0.75, block: int = 8, whole: Statistics | None = None):
         self.shingle, self.overlap = shingle, overlap
         rows = []
         for i, text in items:
@@ -82,7 +97,6 @@ class Index:
             if len(h):
                 rows.append((i, h, len(hashed(pa.array([question(text)]))[0])))
         self.ids = [i for i, _, _ in rows]
-        self.longest = max((len(h) for _, h, _ in rows), default=1)
         self.shingles, self.answers = [], []
         terms, frequency = [], defaultdict(int)
         for _, h, q in rows:
@@ -94,9 +108,13 @@ class Index:
             for x in t.tolist():
                 frequency[x] += 1
         self.terms = np.array(sorted(frequency), np.uint64)
-        n, average = len(rows), np.mean([len(h) for _, h, _ in rows]) if rows else 1.0
-        df = np.array([frequency[x] for x in self.terms.tolist()], float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        n = len(rows)
+        if whole is None:
+            sizes = [len(h) for _, h, _ in rows] or [1]
+            whole = Statistics(n, np.mean(sizes), max(sizes), self.terms, np.array([frequency[x] for x in self.terms.tolist()]))
+        df, average = whole.frequency[np.searchsorted(whole.terms, self.terms)].astype(float), whole.average
+        self.longest = whole.longest
+        idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
         per: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for k, ((t, tf), (_, h, _)) in enumerate(zip(terms, rows)):
             at = np.searchsorted(self.terms, t)
@@ -207,73 +225,138 @@ class Index:
                 if sizes == {1} or len(s_) == 1:  # perhaps an item of fewer words than a shingle
                     own = np.concatenate([here, *(short_grams(h[lo:hi], m, self.shingle) for m in range(1, self.shingle))])
                 there = np.isin(s_, own)
-                if there.sum() >= self.overlap * len(s_) - 1e-9:
-                    a = self.answers[k]
-                    part = lambda m: float(there[m].mean()) if m.any() else 1.0
+                a = self.answers[k]
+                part = lambda m: float(there[m].mean()) if m.any() else 1.0
+                if min(part(~a), part(a)) >= self.overlap - 1e-9:
                     yield r, self.ids[k], s - int(seg0[r]), score, part(~a), part(a), float(there.mean())
 
 
-def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items, in parts of bounded size."""
+def _terms(items: DataFrame) -> DataFrame:
+    """shard, term, n: each item's different terms, and how many words it has."""
+
+    @rested
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            h, first = hashed(b.column("text"))
+            row = np.repeat(np.arange(b.num_rows), np.diff(first))
+            row, h = np.unique(np.stack([row.astype(np.uint64), h]), axis=1).astype(np.uint64)
+            row = row.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("shard").take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(np.diff(first)[row])], names=["shard", "term", "n"])
+
+    return items.mapInArrow(run, "shard long, term long, n long")
+
+
+def _shards(benchmark: DataFrame, shingle: int, overlap: float) -> list[Broadcast]:
+    """Indexes of all items, in parts of bounded size, with the statistics of all items; one at a time is built, and
+    sent to the executors' disks."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // SHARD)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(max(n, 1))))
+    known, one = None, None
+    if n > 1:
+        size = items.mapInArrow(_sizes, "n long").agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
+        terms = written(_terms(items).select("shard", "term"), "terms")
+        one = (size[0], size[1] or 1.0, size[2] or 1)
+        known = written(terms.join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").groupBy("shard", "term").agg(F.first("df").alias("df")), "frequencies")
+    out = []
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        yield sorted(map(tuple, part.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+        part = sorted(map(tuple, items.where(F.col("shard") == k).select("item_id", "text").collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+        whole = None
+        if known:
+            t = known.where(F.col("shard") == k).select("term", "df").toArrow()
+            term, df = t.column("term").to_numpy().view(np.uint64), t.column("df").to_numpy()
+            order = np.argsort(term)
+            whole = Statistics(*one, term[order], df[order])
+        out.append(spark.sparkContext.broadcast(Index(part, shingle, overlap, whole=whole)))
+    return out
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each item that has some."""
+    for b in chunks(batches):
+        n = np.diff(hashed(b.column("text"))[1])
+        yield pa.RecordBatch.from_arrays([pa.array(n[n > 0])], names=["n"])
+
+
+def _searched(batches: Iterator[pa.RecordBatch], shards: list[Broadcast]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Batches with what `Index.search` finds in them, over all indexes. With several, a task gathers HELD bytes of word
+    hashes for each time that it goes through them, and holds one."""
+    held, size = [], 0
+
+    def through() -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        found: list[list[tuple]] = [[] for _ in held]
+        for s in shards:
+            for k, (_, h, first) in enumerate(held):
+                found[k] += s.value.search(h, first)
+            if len(shards) > 1:
+                s.__dict__.pop("_value", None)  # read from disk again when it is wanted again
+        yield from ((b, rows) for (b, *_), rows in zip(held, found))
+
+    for b in chunks(batches):
+        held.append((b, *hashed(b.column("text"))))
+        size += held[-1][1].nbytes
+        if len(shards) == 1 or size >= HELD:
+            yield from through()
+            held, size = [], 0
+    yield from through()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, overlap: float = 0.8) -> DataFrame:
     """doc_id, item_id, passage, score, question_overlap, answer_overlap, overlap: the best passage of each document and
-    test item where at least a share `overlap` of the item's word shingles (question and answer together) stands in it.
-
-    score is BM25 over the least that such a passage can have. Words are runs of letters, digits and non-ASCII
-    characters, A-Z lower-cased; an item of fewer words than a shingle counts as one shingle. Null and empty texts, of
-    documents or items, match nothing; an empty benchmark leaves no rows. Repeated rows have rows of their own; null
-    doc_ids are carried. Other columns are ignored. Items are held by every executor in indexes of at most SHARD bytes
-    of text, one search for each.
+    test item where at least a share `overlap` of the word shingles of the item's question stands in it, and of those of
+    its answer too (shingles that reach into the answer).
+
+    score is BM25, with the statistics of all items, over the least that such a passage can have. Words are runs of
+    letters, digits and non-ASCII characters, A-Z lower-cased; an item of fewer words than a shingle counts as one
+    shingle. Null and empty texts, of documents or items, match nothing; an empty benchmark or table leaves no rows.
+    Repeated rows have rows of their own; null doc_ids are carried. Of a text of any length, its word hashes are in
+    memory beside it. Other columns are ignored. Documents are read once; a task holds one index of at most SHARD bytes of
+    items at a time.
     """
     spark = ship(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for items in _shards(benchmark):
-        index = spark.sparkContext.broadcast(Index(items, shingle, overlap))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in chunks(batches):
-                best: dict[tuple[int, int], tuple] = {}
-                for r, item, *rest in index.value.search(*hashed(b.column("text"))):
-                    if (r, item) not in best or best[r, item][1] < rest[1]:
-                        best[r, item] = rest
-                doc = b.column("doc_id")
-                rows = [(doc[r].as_py(), item, *rest) for (r, item), rest in best.items()]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
-                names = ["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap", "overlap"]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=names)
-
-        got = text.mapInArrow(run, _SCHEMA)
-        out = got if out is None else out.union(got)
-    return out if out is not None else spark.createDataFrame([], _SCHEMA)
+    shards = _shards(benchmark, shingle, overlap)
+    if not shards:
+        return spark.createDataFrame([], _SCHEMA)
+
+    @rested
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _searched(batches, shards):
+            best: dict[tuple[int, int], tuple] = {}
+            for r, item, *rest in found:
+                if (r, item) not in best or best[r, item][1] < rest[1]:
+                    best[r, item] = rest
+            doc = b.column("doc_id")
+            rows = [(doc[r].as_py(), item, *rest) for (r, item), rest in best.items()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+            names = ["doc_id", "item_id", "passage", "score", "question_overlap", "answer_overlap", "overlap"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    return text.mapInArrow(run, _SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, overlap: float = 0.8) -> DataFrame:
     """The rows of docs, with all columns, that `contaminated` would not name; filtered where they are read."""
-    spark = ship(docs.sparkSession)
-    for items in _shards(benchmark):
-        index = spark.sparkContext.broadcast(Index(items, shingle, overlap))
+    ship(docs.sparkSession)
+    shards = _shards(benchmark, shingle, overlap)
+    if not shards:
+        return docs
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in chunks(batches):
-                keep = np.ones(b.num_rows, bool)
-                keep[[r for r, *_ in index.value.search(*hashed(b.column("text")))]] = False
-                yield b.filter(pa.array(keep))
+    @rested
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, found in _searched(batches, shards):
+            keep = np.ones(b.num_rows, bool)
+            keep[[r for r, *_ in found]] = False
+            yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def brute(rows: list[tuple], items: list[tuple], shingle: int = 5, overlap: float = 0.8) -> set[tuple]:
-    """(doc_id, item_id) where some passage-long stretch has enough of an item's shingles; for tests."""
+    """(doc_id, item_id) where some passage-long stretch has enough of the shingles of an item's question and answer; for
+    tests."""
     cut = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
     many = {i: cut(t) for i, t in items}
     step = max((len(w) for w in many.values()), default=1)
@@ -288,6 +371,9 @@ def brute(rows: list[tuple], items: list[tuple], shingle: int = 5, overlap: floa
             for at in range(0, max(len(w), 1), step):
                 p = w[at : at + 2 * step]
                 have = {tuple(p[k : k + m]) for k in range(len(p) - m + 1)}
-                if sum(x in have for x in want) >= overlap * len(want) - 1e-9:
+                n = len(cut(question(dict(items)[i])))
+                there = [x in have for x in want]
+                parts = there[: max(n - shingle + 1, 0)], there[max(n - shingle + 1, 0) :]
+                if all(sum(x) >= overlap * len(x) - 1e-9 for x in parts):
                     out.add((doc, i))
     return out

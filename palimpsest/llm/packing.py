@@ -69,7 +69,8 @@ class WordIds(dict):
 
 
 @cache
-def _ids(path: str) -> WordIds:
+def word_ids(path: str) -> WordIds:
+    """One for each worker and tokenizer."""
     return WordIds(path)
 
 
@@ -103,7 +104,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int =
 
     @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids(tokenizer)
+        ids = word_ids(tokenizer)
         for b in chunks(batches):
             out: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):

@@ -48,7 +48,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
-    return chat.digest(chat.format_windows(rows.union(extra)))
+    return chat.digest(chat.format_windows(rows.union(extra), word_bpe()))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

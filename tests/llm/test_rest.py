@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from palimpsest.llm import ann, chat, decontam, licenses, quality, toxicity
+from tokenizers import Tokenizer
+
+from palimpsest.llm import ann, chat, decontam, licenses, quality, queries, toxicity
 
 DOCS = "doc_id long, text string, score string, label string"
 
@@ -217,20 +220,21 @@ def test_chat_reads_back(spark, budget, history):
             rows.append((c, r.choice((t, t, None)), role, r.choice((None, "".join(r.choice(bits) for _ in range(r.randint(0, 15)))))))
     rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (3, 0, "user", "same"), (3, 0, "user", "same"), (99, 0, "assistant", "z " * 20000)]
     df = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id long, turn long, role string, text string, window string")
-    made = chat.format_windows(df, budget, history)
+    made = chat.format_windows(df, queries.word_bpe(), budget, history)
+    whole = Tokenizer.from_file(queries.word_bpe())
     got = sorted((tuple(x)[:5] for x in chat.digest(made).collect()), key=str)
     assert got == sorted(chat.brute(rows), key=str)
     for w in made.collect():
         turns = chat.parse(w.formatted)
         assert "".join(chat.turn(*t)[0] for t in turns) == w.formatted and len(turns) > w.repeated
-        cost = [chat.cost(chat.turn(*t)[0]) for t in turns]
-        assert sum(cost) <= budget or len(turns) - w.repeated == 1
-    assert chat.digest(chat.format_windows(df.limit(0))).count() == 0
+        cost = len(whole.encode(w.formatted, add_special_tokens=False).ids)
+        assert cost <= budget or len(turns) - w.repeated == 1
+    assert chat.digest(chat.format_windows(df.limit(0), queries.word_bpe())).count() == 0
 
 
 def test_windows_keep_the_system_turn_and_history():
     turns = [("system", "be brief")] + [(("user", "assistant")[k % 2], f"turn {k} " * 5) for k in range(10)]
-    made = list(chat.windows(iter(turns), 80, 20))
+    made = list(chat.windows(iter(turns), 80, 20, lambda text: len(text) // 4))
     assert len(made) > 2 and all(chat.parse(w)[0][0] == "system" for w, _, _ in made)
     assert any(n > 1 for _, _, n in made[1:])
 
@@ -310,8 +314,51 @@ def test_shards_give_the_same(spark, monkeypatch):
     items, word, r = _items()
     rows = [(k, " ".join(word() for _ in range(20)) + " " + t) for k, t in items]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted((x.doc_id, x.item_id, x.passage, round(x.score, 9), x.overlap) for x in df.collect())
+    want = key(decontam.contaminated(_docs(spark, rows), bench))
+    assert {x[:2] for x in want} >= {(k, k) for k, _ in items}
     monkeypatch.setattr(decontam, "SHARD", 600)
-    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(_docs(spark, rows), bench).collect()} >= {(k, k) for k, _ in items}
+    shards = decontam._shards(bench, 5, 0.8)
+    assert len(shards) > 3 and key(decontam.contaminated(_docs(spark, rows), bench)) == want
+    one = decontam.Index(items, 5, 0.8)
+    for s in shards:  # statistics are those of all items
+        for t, p in zip(s.value.terms.tolist(), s.value.postings):
+            k = int(np.searchsorted(one.terms, t))
+            whole = dict(zip((one.ids[i] for i in one.postings[k].items), one.postings[k].impacts))
+            assert all(abs(whole[s.value.ids[i]] - x) < 1e-9 for i, x in zip(p.items, p.impacts))
+
+
+def test_question_and_answer_must_both_be_there(spark):
+    question, answer = "which river runs through the old town of the northern county", "the long winding river of stones and reeds"
+    bench = spark.createDataFrame([(1, f"{question}? {answer}."), (2, f"{question} now? Paris.")], "item_id long, text string")
+    rows = [(1, f"he asked {question} {answer} and left"), (2, f"{question} something quite different here"), (3, f"so {answer} it was"), (4, f"{question} now London"), (5, f"{question} now Paris")]
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(_docs(spark, rows), bench).collect()} == {(1, 1), (5, 2)}
+
+
+def test_very_long_texts(spark):
+    """Texts of several megabytes are searched, scored and scanned whole."""
+    r = random.Random(3)
+    words = [f"{r.getrandbits(30):x}" for _ in range(350_000)]
+    question = "is this the question that nobody answers? it may well be so indeed"
+    license = "Released under the MIT License."
+    at = len(words) // 2
+    long = " ".join([*words[:at], question, license, *words[at:]])
+    rows = [(1, long), (2, "w" * 3_000_000), (3, question), (4, "")]
+    bench = spark.createDataFrame([(7, question)], "item_id long, text string")
+    assert {x.doc_id for x in decontam.contaminated(_docs(spark, rows), bench).collect()} == {1, 3}
+    assert [(x.doc_id, x.license, x.word) for x in licenses.scan(_docs(spark, rows)).collect()] == [(1, "MIT", at + len(question.split()))]
+    model = quality.Model([0.0, 1.0], np.random.default_rng(0).normal(size=quality.WIDTH), np.zeros(1))
+    got = {x.doc_id: x for x in quality.graded(_docs(spark, rows), model, 1).collect()}
+    assert len(got) == 4 and got[1].tail_probability is not None and not got[4].selected
+    col = pa.array([long, "short one", "w" * 3_000_000])
+    s, n = model.scores(col)
+    x = quality.features(col).astype(float)
+    assert np.allclose(s, x @ model.weights, atol=1e-3) and n[0] == len(long.split())
+    table = np.random.default_rng(1).normal(size=1 << toxicity.BITS).astype(np.float32)
+    whole = toxicity.Model(table, 0.1)
+    parts = [toxicity.bag(pa.array([t])) for t in (long, "short one")]
+    want = [1 / (1 + np.exp(-(table[b] @ n / n.sum() + 0.1))) for b, n in parts]
+    assert np.allclose(whole.scores(pa.array([long, "short one"])), want, atol=1e-6)
 
 
 def test_wand_retrieves_all_above_the_threshold():
