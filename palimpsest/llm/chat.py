@@ -1,6 +1,6 @@
 """Chat formatting in budgeted windows.
 
-Running sums of the turns' token counts cut a conversation into spans of whole turns. A window holds the system turn, a
+Running sums of the turns' token counts, as a tokenizer gives them, cut a conversation into spans of whole turns. A window holds the system turn, a
 limited stretch of turns that an earlier window had (history), and its own new turns; only assistant texts among the new
 ones are under the loss mask, so each is a target once. Texts are escaped reversibly, so no marker can come from a text.
 """
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import rested, ship
+from .packing import word_ids
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Strings with a meaning in the template or in wide-spread ones; a text's own get a backslash behind their first character.
@@ -42,12 +43,14 @@ def turn(role: str, text: str) -> tuple[str, int, int]:
     return head + body + CLOSE, len(head), len(head) + len(body)
 
 
-def cost(formatted: str) -> int:
-    """Tokens of a formatted turn, reckoned as one for four bytes begun."""
-    return -(-len(formatted.encode("utf-8", "surrogatepass")) // 4)
+def counter(tokenizer: str) -> Callable[[str], int]:
+    """Counts a formatted turn's tokens. As turns end in white space, which the tokenizer drops, a window's tokens are the
+    sum of its turns'."""
+    ids = word_ids(tokenizer)
+    return lambda formatted: len(ids.of(formatted.encode("utf-8", "replace"))) // 4
 
 
-def windows(turns: Iterator[tuple[str, str]], budget: int, history: int) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
+def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, cost: Callable[[str], int]) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
     """(formatted, loss spans, repeated turns at its beginning) of a conversation's windows; memory holds one window.
 
     Turns are taken while their running sum stays within the budget; a turn above the budget has a window of its own,
@@ -101,13 +104,15 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 _WINDOW = "conv_id long, window long, formatted string, loss array<struct<start:long,end:long>>, repeated long"
 
 
-def format_windows(rows: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
+def format_windows(rows: DataFrame, tokenizer: str, budget: int = 512, history: int = 128) -> DataFrame:
     """conv_id, window, formatted, loss (spans in code points of formatted), repeated (turns at the window's beginning
-    that earlier windows had): all conversations' windows, in order within a partition.
+    that earlier windows had): all conversations' windows, in order within a partition. budget and history are in tokens
+    of `tokenizer`, a file of one that drops white space.
 
     Turns are ordered by turn, nulls last, ties by role and text. Null roles and texts are empty; rows with a null
     conv_id form one conversation; repeated rows are turns of their own; other columns are ignored. A conversation of
-    any length streams through one task in constant memory.
+    any length streams through one task in constant memory, window by window; a very long turn is one window, held whole.
+    An empty table gives no rows.
     """
     if budget < 1 or history < 0:
         raise ValueError("budget must be positive and history not negative")
@@ -117,6 +122,7 @@ def format_windows(rows: DataFrame, budget: int = 512, history: int = 128) -> Da
     )
     turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
+    @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flow() -> Iterator[tuple]:
             for b in batches:
@@ -128,7 +134,7 @@ def format_windows(rows: DataFrame, budget: int = 512, history: int = 128) -> Da
             cols[3] = [[{"start": a, "end": b} for a, b in spans] for spans in cols[3]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["conv_id", "window", "formatted", "loss", "repeated"])
 
-        rest, part, size = flow(), [], 0
+        rest, part, size, cost = flow(), [], 0, counter(tokenizer)
         ahead = next(rest, None)
         while ahead is not None:
             conv = ahead[0]
@@ -139,7 +145,7 @@ def format_windows(rows: DataFrame, budget: int = 512, history: int = 128) -> Da
                     yield ahead[1:]
                     ahead = next(rest, None)
 
-            for k, w in enumerate(windows(own(), budget, history)):
+            for k, w in enumerate(windows(own(), budget, history, cost)):
                 part.append((conv, k, *w))
                 size += len(w[0])
                 if size > 1 << 20:
