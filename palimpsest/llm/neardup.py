@@ -25,7 +25,7 @@ BANDS, ROWS, BITS = 32, 5, 4
 #: Standard deviations of the estimate that a pair may lie under the threshold and still be confirmed on its sets.
 SLACK = 5.0
 #: Bytes of shingle hashes in one block of a group.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 #: Rounds of new pivots (and one of pairs) for members of large groups that their pivot is not linked with.
 ROUNDS = 3
 _KEYS = ("pivot", "i", "j")
