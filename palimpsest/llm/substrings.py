@@ -1,6 +1,7 @@
 """Removal of word windows that an earlier document has: level-wise doubling.
 
-Levels are windows of ever twice the words, from FIRST or a little fewer up to the length asked for (13: 4, 7, 13). Each
+Levels are windows of ever twice the words, from FIRST or a little fewer up to the length asked for (13: 7, 13; 50: 7, 13,
+25, 50). Each
 full window names its short window with the least hash, and around it one window of each level, so equal full windows
 name equal ones. A level keeps the windows that a second document has and extends them alone to the next; it ends when
 none survives, or at full windows. Longer ones cannot cover a word that no full window covers.
@@ -21,8 +22,8 @@ from .common import Seen, chunks, flat, grams, mix, odd, rested, rows_of, ship,
 from .runs import lists, runs
 
 _NO_ID = (1 << 63) - 1  # null doc_ids come after all others
-#: Words of the first level's windows, at most.
-FIRST = 4
+#: Words of the first level's windows, at most: shorter ones stand in other documents more often than not.
+FIRST = 7
 
 
 def _hashed(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -112,13 +112,28 @@ def test_components(spark):
     assert got == {i: 2 for i in [3, 900, *range(100, 141)]} | {51: 50}
 
 
-@pytest.mark.parametrize("window", [2, 5, 13])
+@pytest.mark.parametrize("window", [2, 5, 13, 40])
 def test_windows(spark, window):
     rows = _rows() + [(None, "x " * 40), (None, "fresh words " * 20), (1001, "x y " * 30)]
     got = substrings.digest(substrings.remove_windows(_frame(spark, rows), window)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, substrings.brute(rows, window)))
 
 
+def test_levels_double_until_none_survives(spark):
+    assert substrings.levels(13) == [7, 13] and substrings.levels(50) == [7, 13, 25, 50] and substrings.levels(2) == [1, 2]
+    def tables(rows):
+        before = len(_tables(spark))
+        got = {x.doc_id: x.n_removed for x in substrings.remove_windows(_frame(spark, rows), 50).collect()}
+        return got, sum("/survivors-" in x for x in _tables(spark)[before:])
+    words = [f"w{k}" for k in range(400)]
+    part = lambda n: " ".join(words[:n])
+    own = lambda c: " ".join(f"{c}{k}" for k in range(300))
+    # nothing is shared; 9 words are, which the second level drops; 60 are, which reach the last one
+    assert tables([(1, own("a")), (2, own("b"))]) == ({1: 0, 2: 0}, 1)
+    assert tables([(1, f"{own('a')} {part(9)} {own('c')}"), (2, f"{own('b')} {part(9)} {own('d')}")])[0] == {1: 0, 2: 0}
+    assert tables([(1, f"{own('a')} {part(60)} {own('c')}"), (2, f"{own('b')} {part(60)} {own('d')}")]) == ({1: 0, 2: 60}, 2)
+
+
 @pytest.mark.parametrize("length,anchor,group", [(200, 40, 4096), (60, 20, 4096), (50, 8, 6)])
 def test_repeats(spark, monkeypatch, length, anchor, group):
     monkeypatch.setattr(repeats, "GROUP", group)
