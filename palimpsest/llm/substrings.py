@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Seen, chunks, flat, grams, mix, odd, rested, rows_of, ship, window_min, word_hashes, written
-from .runs import lists, runs
+from .runs import lists, others, runs
 
 _NO_ID = (1 << 63) - 1  # null doc_ids come after all others
-#: Words of the first level's windows, at most: shorter ones stand in other documents more often than not.
+#: Words of the first level's windows, at most: of shorter ones too many stand in other documents by chance.
 FIRST = 7
 
 
@@ -113,7 +113,7 @@ def _level(text: DataFrame, window: int) -> DataFrame:
     def shared(own: str, then: str | None, last: bool):
         @rested
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for cols, first, again in runs(batches, ["key", "kind", "v"], "id"):
+            for cols, first, again in others(batches, ["key", "kind", "v"], "id"):
                 copy = cols["kind"] % 2 == 1
                 keep = (cols["kind"] >= 2) | (again & (~copy | (cols["id"] > first)))
                 out = {c: x[keep] for c, x in cols.items()}

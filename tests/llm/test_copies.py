@@ -185,6 +185,19 @@ def test_runs_across_batches():
         assert got == [(i, int(np.flatnonzero(k == k[i])[0]), bool((k == k[i]).sum() > 1)) for i in range(200)]
 
 
+def test_others_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = sorted(zip(rng.integers(0, 40, 300).tolist(), rng.integers(0, 3, 300).tolist()))
+    rows = [(k, v) for k, v in rows if k % 3 or v == 1]
+    t = pa.table({"k": [k for k, _ in rows], "v": [v for _, v in rows]})
+    values = {k: sorted({v for x, v in rows if x == k}) for k, _ in rows}
+    for size in (1, 2, 7, 300):
+        got = [(int(a), int(f), bool(g)) for c, first, other in runs.others(iter(t.to_batches(max_chunksize=size)), ["k"], "v") for a, f, g in zip(c["k"], first, other)]
+        assert got == [(k, values[k][0], len(values[k]) > 1) for k, _ in rows]
+
+
 def test_written_tables_can_be_cleared(spark):
     from palimpsest.llm import common
 
