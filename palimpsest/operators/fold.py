@@ -80,6 +80,22 @@ def versions(log: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataF
     )
 
 
+def versions_between(log: DataFrame, key: Sequence[str], values: Sequence[str], low: int, high: int) -> DataFrame:
+    """What `between(versions(log), low, high)` gives, from the state at `low`, the events behind it up to `high`, and each
+    row's first event behind `high`, so that a window goes over no more than the range asked for."""
+    state = fold(as_of(log, low), key, values, meta=True)
+    keys = [F.lit(None).cast("array<string>").alias("keys")] if "keys" in log.columns else []
+    ordered = [F.col(f"`{c}`") for c in (*key, *values)]
+    base = state.select(F.col("last_seq").alias("seq"), F.col("last_ts").alias("ts"), F.lit(INSERT).alias("op"), *keys, *ordered)
+    names = base.columns
+    later = log.where(F.col("seq") > F.lit(int(high))).groupBy(*[f"`{k}`" for k in key]).agg(F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"))
+    nothing = [F.lit(None).cast(log.schema[c].dataType).alias(c) for c in values]
+    ends = later.select("seq", "ts", F.lit(DELETE).alias("op"), *keys, *[F.col(f"`{k}`") for k in key], *nothing)
+    within = as_of(log, high).where(F.col("seq") > F.lit(int(low))).select(*[f"`{n}`" for n in names])
+    made = versions(base.unionByName(within).unionByName(ends), key, values)
+    return between(made, low, high)
+
+
 def valid_at(start: Column, end: Column, at: Column) -> Column:
     """Whether a version is valid at a point: it has begun and not ended."""
     return (start <= at) & (end.isNull() | (end > at))

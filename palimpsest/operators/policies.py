@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.literals import filled
+
 
 @dataclass
 class Policy:
@@ -46,9 +48,7 @@ class Policies:
 
         def text(p: Policy) -> str:
             sql = p.check if check and p.check is not None else p.using
-            for k, v in sorted({"user": user or "", **self.variables}.items(), key=lambda kv: -len(kv[0])):
-                sql = sql.replace(f"${k}", "'" + str(v).replace("'", "''") + "'")
-            return f"({sql})"
+            return f"({filled(sql, {'user': user or '', **self.variables})})"
 
         some = [text(p) for p in own if p.permissive]
         every = [text(p) for p in own if not p.permissive]
@@ -58,7 +58,7 @@ class Policies:
         cond = self.condition(table, user, action)
         return df if cond is None else df.where(cond)
 
-    def refused(self, rows: DataFrame, table: str, user: str | None) -> DataFrame:
-        """New rows that the user must not write."""
+    def refused(self, rows: DataFrame, table: str, user: str | None) -> DataFrame | None:
+        """New rows that the user must not write; None where no policy holds."""
         cond = self.condition(table, user, "write", check=True)
-        return rows.limit(0) if cond is None else rows.where(~F.coalesce(F.expr(cond), F.lit(False)))
+        return None if cond is None else rows.where(~F.coalesce(F.expr(cond), F.lit(False)))

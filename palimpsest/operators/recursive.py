@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from ..sources.store import shared_dir
+
 
 def fixed_point(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
     """Rows of the anchor and of all steps, each once. `step` gets the rows new in the last round.
@@ -17,8 +17,7 @@ def fixed_point(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], most:
     earlier rounds run again; new rows are found by an anti join, so rounds may be of any size.
     """
     spark = anchor.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp()).as_uri()
-    root = f"{base}/rounds-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
     names = anchor.columns
     anchor.distinct().write.parquet(f"{root}/r0")
     schema = anchor.schema

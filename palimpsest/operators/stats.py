@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -43,9 +46,22 @@ def histogram(df: DataFrame, column: str, buckets: int = 100) -> DataFrame:
     return bounds.select(F.posexplode("b").alias("bucket", "bound"))
 
 
-def explain(df: DataFrame, mode: str = "formatted") -> DataFrame:
-    """The plan as one row of text."""
-    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+def explain(df: DataFrame, mode: str = "formatted", run: bool = False, as_json: bool = False) -> DataFrame:
+    """The plan as one row of text, or of JSON; with run, after the query has been carried out (its rows go nowhere), as
+    adaptive execution left it, with the number of rows and the time."""
+    execution, rows, took = df._jdf.queryExecution(), None, 0.0
+    if run:
+        began = time.perf_counter()
+        rows = int(execution.toRdd().count())
+        took = (time.perf_counter() - began) * 1000
+    text = df._sc._jvm.PythonSQLUtils.explainString(execution, mode)
+    if as_json:
+        made = {"plan": [json.loads(x) if x.startswith(("[", "{")) else x for x in [execution.optimizedPlan().toJSON()]][0]}
+        if run:
+            made |= {"rows": rows, "milliseconds": round(took, 3)}
+        text = json.dumps(made)
+    elif run:
+        text += f"\nRows: {rows}\nExecution time: {took:.3f} ms"
     return df.sparkSession.createDataFrame([(text,)], "`QUERY PLAN` string")
 
 

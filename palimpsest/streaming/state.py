@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,6 +51,18 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None
     return events.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
+def windowed_stream(spark: SparkSession, path: str, schema: StructType, to: str, checkpoint: str, batches: list[DataFrame], width: str = "1 hour", late: str = "10 minutes") -> None:
+    """`windowed_counts` as a stream over a folder that gets one batch after the other: each run takes up where the last one
+    stopped, and windows are appended under `to` once the watermark has passed them; a last event far ahead closes all."""
+    for batch in [*batches, None, None]:  # one to move the watermark, one to write what it closes
+        if batch is None:
+            batch = spark.createDataFrame([(datetime(9999, 1, 1), None)], schema)
+        batch.select([F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(path)
+        counts = windowed_counts(spark.readStream.schema(schema).parquet(path), width, late=late)
+        writer = counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start(to).awaitTermination()
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """user_id, session_start, session_end, n: stretches of a user's events with no gap as long as `gap`."""
     if events.isStreaming:
