@@ -52,11 +52,11 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "filter_index_range": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey <= 200",
     # subqueries
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
-    "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "anti_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)",
     "anti_not_in_null": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)",
     "exists_uncorrelated": "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA')",
     "exists_corr": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
-    "not_exists_corr": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "not_exists_corr": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
     "scalar_sub_select": "SELECT c_custkey, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS top FROM customer c",
     "scalar_sub_where": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "scalar_sub_corr_where": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
@@ -75,7 +75,7 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "join_inner": "SELECT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey",
     "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'",
     "join_right": "SELECT c.c_name, o.o_orderkey FROM customer c RIGHT JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 5000",
-    "join_full": "SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON s.s_suppkey = c.c_custkey",
+    "join_full": "SELECT s.s_suppkey, c.c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') c ON s.s_suppkey = c.c_custkey",
     "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_self": "SELECT a.n_name AS first_name, b.n_name AS second_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_using": "SELECT k, a.c_name, b.o_orderkey FROM (SELECT c_custkey AS k, c_name FROM customer) a JOIN (SELECT o_custkey AS k, o_orderkey FROM orders) b USING (k)",
@@ -84,8 +84,8 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "join_multi_key": "SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate > o.o_orderdate WHERE l.l_quantity > 49",
     "join_null_keys": "SELECT a.c_custkey, b.s_suppkey FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer) a LEFT JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k = b.k",
     "join_anti": (
-        "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey",
-        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)",
+        "SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT'",
+        "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_orderpriority = '1-URGENT')",
     ),
     "join_over_cte": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 200000) SELECT c.c_name, b.o_orderkey FROM big b JOIN customer c ON b.o_custkey = c.c_custkey",
     "join_agg": "SELECT n.n_name, count(*) AS n, round(sum(c.c_acctbal), 2) AS total FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
@@ -147,6 +147,33 @@ QUERIES: dict[str, str | tuple[str, str]] = {
     "win_range_frame": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 50 PRECEDING AND CURRENT ROW) AS n FROM orders",
     "win_whole": "SELECT c_custkey, avg(CAST(round(c_acctbal * 100) AS BIGINT)) OVER (PARTITION BY c_nationkey) AS mean_cents FROM customer",
     "win_nulls_last": "SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_mktsegment, 'BUILDING') ASC NULLS LAST, c_custkey) AS rn FROM customer",
+    # the rest of what the dialect has
+    "join_natural": ("SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b"),
+    "join_lateral": "SELECT n.n_name, t.top FROM nation n, LATERAL (SELECT max(c.c_acctbal) AS top FROM customer c WHERE c.c_nationkey = n.n_nationkey) t",
+    "join_semi": ("SELECT s_suppkey FROM supplier LEFT SEMI JOIN customer ON s_nationkey = c_nationkey AND c_acctbal > 9900", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE s_nationkey = c_nationkey AND c_acctbal > 9900)"),
+    "join_range": "SELECT s.s_suppkey, count(*) AS n FROM supplier s JOIN customer c ON c.c_nationkey = s.s_nationkey AND c.c_acctbal BETWEEN s.s_acctbal - 200 AND s.s_acctbal + 200 GROUP BY s.s_suppkey",
+    "join_asof": (
+        "SELECT o_orderkey, prev FROM (SELECT o_orderkey, is_order, max(CASE WHEN NOT is_order THEN at END) OVER (PARTITION BY k ORDER BY at, is_order ROWS UNBOUNDED PRECEDING) AS prev FROM (SELECT o_orderkey, o_custkey AS k, o_orderdate AS at, true AS is_order FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT NULL, o_custkey, o_orderdate, false FROM orders WHERE o_orderstatus = 'P') t) u WHERE is_order",
+        "SELECT a.o_orderkey, b.at AS prev FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') a ASOF LEFT JOIN (SELECT DISTINCT o_custkey AS k, o_orderdate AS at FROM orders WHERE o_orderstatus = 'P') b ON a.o_custkey = b.k AND a.o_orderdate >= b.at",
+    ),
+    "scalar_sub_boolean": "SELECT n_name FROM nation WHERE (SELECT count(*) > 4 FROM region)",
+    "agg_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "agg_percentile": ("SELECT l_returnflag, round(percentile(l_quantity, 0.9), 6) AS p FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.9), 6) AS p FROM lineitem GROUP BY l_returnflag"),
+    "agg_array": ("SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_bool": "SELECT o_orderstatus, bool_or(o_totalprice > 400000) AS some, bool_and(o_totalprice > 1000) AS every_ FROM orders GROUP BY o_orderstatus",
+    "distinct_on": (
+        "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, -o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey",
+        "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
+    ),
+    "with_ties": "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) t WHERE r <= 10",
+    "set_minus": ("SELECT c_nationkey AS a FROM customer MINUS SELECT s_nationkey AS a FROM supplier WHERE s_acctbal > 8000", "SELECT c_nationkey AS a FROM customer EXCEPT SELECT s_nationkey AS a FROM supplier WHERE s_acctbal > 8000"),
+    "proj_cast_coalesce": "SELECT o_orderkey, CAST(o_custkey AS VARCHAR(20)) AS t, coalesce(nullif(o_orderstatus, 'P'), 'pending') AS s, -o_custkey AS neg, NOT (o_totalprice > 1000) AS small FROM orders",
+    "proj_like_value": "SELECT p_partkey, p_brand LIKE 'Brand#1%' AS first_brand FROM part",
+    "proj_math": "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(sign(c_acctbal) AS INT) AS s, round(power(c_acctbal / 1000, 2), 6) AS p FROM customer",
+    "proj_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
+    "proj_arrays": ("SELECT doc_id, size(split(text, ' ')) AS n, element_at(split(text, ' '), 1) AS first_word, array_contains(split(text, ' '), 'the') AS has_the FROM documents", "SELECT doc_id, CAST(len(string_split(text, ' ')) AS INT) AS n, string_split(text, ' ')[1] AS first_word, list_contains(string_split(text, ' '), 'the') AS has_the FROM documents"),
+    "proj_dates": ("SELECT o_orderkey, date_format(date_trunc('month', o_orderdate), 'yyyy-MM-dd') AS m, datediff(DATE '1999-01-01', o_orderdate) AS days FROM orders", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS m, CAST(DATE '1999-01-01' - CAST(o_orderdate AS DATE) AS INT) AS days FROM orders"),
+    "server_shims": ("SELECT current_database() IS NOT NULL AS db, version() IS NOT NULL AS v, current_timestamp() > TIMESTAMP '2020-01-01' AS now", "SELECT current_database() IS NOT NULL AS db, version() IS NOT NULL AS v, current_localtimestamp() > TIMESTAMP '2020-01-01' AS now"),
     # larger ones
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price, round(avg(l_quantity), 6) AS avg_qty, count(*) AS count_order FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "top_customers": "SELECT c.c_custkey, c.c_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 4) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY c.c_custkey, c.c_name ORDER BY revenue DESC, c.c_custkey LIMIT 20",

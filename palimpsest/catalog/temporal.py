@@ -3,9 +3,8 @@ it, user_id is the key; signup inserts, error deletes, everything else patches."
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,7 @@ from ..operators import fold, fulltext
 from ..operators.policies import Policy
 from ..operators.recursive import fixed_point
 from ..operators.stats import analyze
+from ..sources.store import shared_dir
 from ..streaming import state
 
 KEY, VALUES = ["user_id"], ["value", "props"]
@@ -37,15 +37,30 @@ def log(spark: SparkSession, sf_dir: str, partial: bool = False) -> DataFrame:
     return out
 
 
+_MADE: dict[tuple, str] = {}  # what queries share: by application, input and kind, the folder
+
+
 def scratch(spark: SparkSession) -> Engine:
     """An engine in a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp()).as_uri()
-    return Engine(spark, f"{base}/engine-{uuid.uuid4().hex}")
+    return Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}")
+
+
+def once(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], None]) -> str:
+    """A folder that is made the first time an application asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _MADE:
+        path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        make(path)
+        _MADE[key] = path
+    return _MADE[key]
 
 
 def imported(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over the event log, which is written once."""
+    whole = log(spark, sf_dir).withColumn("keys", F.lit(None).cast("array<string>"))
+    path = once(spark, sf_dir, "log", lambda to: whole.repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(to))
     e = scratch(spark)
-    e.import_log("users", log(spark, sf_dir), KEY)
+    e.attach_log("users", path, KEY)
     return e
 
 
@@ -125,8 +140,8 @@ def _sql(text):
 
 def _customers(spark, d) -> Engine:
     e = scratch(spark)
-    e.sql("CREATE TABLE cust (c_custkey BIGINT PRIMARY KEY, c_name TEXT NOT NULL, c_acctbal DOUBLE, c_mktsegment VARCHAR(20), CHECK (c_custkey > 0))")
-    e.insert("cust", table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").where("c_custkey > 0"))
+    e.sql("CREATE TABLE cust (c_custkey BIGINT PRIMARY KEY, c_name TEXT NOT NULL, c_acctbal DOUBLE, c_mktsegment VARCHAR(20), CHECK (c_custkey >= 0))")
+    e.insert("cust", table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
     return e
 
 
@@ -159,7 +174,7 @@ def _insert_select(spark, d):
 def _pk_change(spark, d):
     e = _customers(spark, d)
     e.sql("UPDATE cust SET c_custkey = c_custkey + 1000000 WHERE c_custkey <= 10")
-    return e.sql("SELECT c_custkey, c_name FROM cust WHERE c_custkey > 1000000 OR c_custkey <= 20")
+    return e.sql("SELECT c_custkey, c_name FROM cust")
 
 
 def _txn(spark, d):
@@ -175,7 +190,7 @@ COMMIT;
 BEGIN;
 DELETE FROM cust;
 ROLLBACK""")
-    return e.sql("SELECT c_custkey, c_acctbal FROM cust WHERE c_custkey <= 30")
+    return e.sql("SELECT c_custkey, c_acctbal FROM cust")
 
 
 def _alter(spark, d):
@@ -254,8 +269,14 @@ _STEM = "CASE " + " ".join(
 _QUERY = ["onthe", "erst", "onst", "stupid", "erst"]
 
 
+#: What is one edit, or none, away from "erst".
+_EDITS = "|".join(["erst", *("erst"[:k] + "erst"[k + 1 :] for k in range(4)), *("erst"[:k] + "." + "erst"[k + 1 :] for k in range(4)), *("erst"[:k] + "." + "erst"[k:] for k in range(5))])
+
+
 def _index(spark, d, stemmed=False):
-    return fulltext.postings(table(spark, d, "documents"), "doc_id", "text", stemmed)
+    """The stored index, written the first time it is asked for."""
+    docs = table(spark, d, "documents")
+    return fulltext.stored(spark, once(spark, d, "stems" if stemmed else "terms", lambda to: fulltext.store(docs, "doc_id", "text", to, stemmed)))
 
 
 def _fts_text(spark, d):
@@ -300,14 +321,13 @@ def _fts_stem(spark, d):
 
 
 def _fts_fuzzy(spark, d):
-    """Over all terms, in characters; the SQL, whose distance counts bytes, has the terms of a to z alone."""
+    """Over all terms, in characters; the SQL spells out what one edit makes, as its own distance counts bytes."""
     return fulltext.fuzzy_search(_index(spark, d), "erst", 1)
 
 
 def _stream_state(spark, d):
     """The state kept by a stream over the log, in one run over what is there."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp()).as_uri()
-    at = f"{at}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = log(spark, d)
     e.repartitionByRange(3, "seq").sortWithinPartitions("seq").write.parquet(f"{at}/log")
     q = state.maintain(state.read_log(spark, f"{at}/log", e.schema), KEY, VALUES, f"{at}/state", f"{at}/checkpoint")
@@ -315,25 +335,97 @@ def _stream_state(spark, d):
     return state.current(spark, f"{at}/state")
 
 
+def _composite(spark, d):
+    e = scratch(spark)
+    e.sql("CREATE TABLE lines (l_orderkey BIGINT, l_linenumber INT, l_quantity DOUBLE, PRIMARY KEY (l_orderkey, l_linenumber))")
+    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("double").alias("l_quantity"))
+    e.insert("lines", one.select("l_orderkey", F.col("l_linenumber").cast("int"), "l_quantity"))
+    e.sql("UPDATE lines SET l_quantity = l_quantity + 1 WHERE l_linenumber = 2")
+    e.sql("DELETE FROM lines WHERE l_linenumber = 3")
+    return e.sql("SELECT l_orderkey, l_linenumber, l_quantity FROM lines")
+
+
+def _drop_add(spark, d):
+    e = _customers(spark, d)
+    e.sql("ALTER TABLE cust RENAME COLUMN c_acctbal TO balance")
+    e.sql("ALTER TABLE cust DROP COLUMN c_mktsegment")
+    e.sql("ALTER TABLE cust ADD COLUMN c_mktsegment TEXT")
+    e.sql("UPDATE cust SET c_mktsegment = 'new' WHERE balance > 0")
+    return e.sql("SELECT c_custkey, balance, c_mktsegment FROM cust")
+
+
+def _keyed_to(action):
+    def run(spark, d):
+        e = _customers(spark, d)
+        e.sql(f"CREATE TABLE ord (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT REFERENCES cust (c_custkey) ON DELETE {action})")
+        e.insert("ord", table(spark, d, "orders").select("o_orderkey", "o_custkey"))
+        e.sql("DELETE FROM cust WHERE c_acctbal < 0")
+        return e.sql("SELECT o_orderkey, o_custkey FROM ord")
+
+    return run
+
+
+def _serial(spark, d):
+    e = scratch(spark)
+    e.sql("CREATE TABLE s (id SERIAL PRIMARY KEY, name TEXT)")
+    e.insert("s", table(spark, d, "nation").select(F.col("n_name").alias("name")))
+    e.insert("s", table(spark, d, "region").select(F.col("r_name").alias("name")))
+    return e.sql("SELECT min(id) AS low, max(id) AS high, count(DISTINCT id) AS n, count(*) AS all_rows FROM s")
+
+
+def _trigger(spark, d):
+    e = _customers(spark, d)
+    e.sql("CREATE TABLE trail (c_custkey BIGINT PRIMARY KEY, was DOUBLE)")
+    e.sql("CREATE TRIGGER note AFTER DELETE ON cust DO INSERT INTO trail SELECT c_custkey, c_acctbal FROM changed")
+    e.sql("DELETE FROM cust WHERE c_acctbal < 0")
+    return e.sql("SELECT c_custkey, was FROM trail")
+
+
+def _on_change(spark, d):
+    e = _customers(spark, d)
+    e.create_view("totals", "SELECT c_mktsegment, count(*) AS n FROM cust GROUP BY c_mktsegment", True, "on_change")
+    e.sql("DELETE FROM cust WHERE c_acctbal < 0")
+    return e.sql("SELECT * FROM totals")
+
+
+def _view_join(spark, d):
+    e = _customers(spark, d)
+    e.sql("CREATE VIEW good AS SELECT c_custkey, c_mktsegment FROM cust WHERE c_acctbal > 0")
+    return e.sql("SELECT c.c_name, g.c_mktsegment FROM cust c JOIN good g ON g.c_custkey = c.c_custkey")
+
+
+def _late(spark, d):
+    """Counts by the hour of a stream that gets the events in two batches, the earlier half last: with a watermark of 10
+    minutes, what comes later than that is left out, so the second batch adds nothing but the hour where they meet."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("ts", "event_type")
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    schema = e.withColumn("ts", F.col("ts").cast("timestamp")).schema
+    state.windowed_stream(spark, f"{at}/in", schema, f"{at}/out", f"{at}/checkpoint", [e.where(F.col("ts") >= cut), e.where(F.col("ts") < cut)])
+    return spark.read.parquet(f"{at}/out").groupBy("window_start", "event_type").agg(F.sum("n").alias("n")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+_ALL_VERSIONS = _VERSIONS.replace("SELECT * FROM versions", "SELECT user_id, value, start_seq, end_seq FROM versions")
+
 #: name: (query, the oracle's SQL or None).
 QUERIES = {
     "asof_seq": (flagship, _state(f"event_id <= {N}", last=True)),
     "asof_ts": (_ts, _state(f"ts <= TIMESTAMP '{_TS}'")),
     "asof_before_first": (lambda s, d: fold.fold(fold.as_of(log(s, d), ts="1970-01-01"), KEY, VALUES), _state("false")),
     "current_state": (lambda s, d: fold.fold(log(s, d), KEY, VALUES), _state("true")),
-    "pk_fetch_asof": (lambda s, d: fold.fold(fold.as_of(log(s, d).where("user_id = 7"), seq=N), KEY, VALUES), _state(f"event_id <= {N} AND user_id = 7")),
+    "pk_fetch_asof": (lambda s, d: fold.fold(fold.as_of(log(s, d).where("user_id = 2"), seq=N), KEY, VALUES), _state(f"event_id <= {N} AND user_id = 2")),
     "tail_read": (lambda s, d: log(s, d).where(f"seq > {N}"), f"SELECT event_id AS seq, ts, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'SOFT_DELETE' ELSE 'PATCH' END AS op, user_id, value, props FROM events WHERE event_id > {N}"),
     "history_key": (
-        lambda s, d: fold.history(log(s, d), KEY, VALUES, user_id=7),
-        "SELECT event_id AS sequence, ts AS timestamp, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'SOFT_DELETE' ELSE 'PATCH' END AS event_type, user_id, value, props FROM events WHERE user_id = 7",
+        lambda s, d: fold.history(log(s, d), KEY, VALUES, user_id=2),
+        "SELECT event_id AS sequence, ts AS timestamp, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'SOFT_DELETE' ELSE 'PATCH' END AS event_type, user_id, value, props FROM events WHERE user_id = 2",
     ),
     "history_all": (
         _sql("SELECT event_type, count(*) AS n FROM users FOR SYSTEM_TIME ALL GROUP BY event_type"),
         "SELECT CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'SOFT_DELETE' ELSE 'PATCH' END AS event_type, count(*) AS n FROM events GROUP BY 1",
     ),
     "versions_all": (lambda s, d: fold.versions(log(s, d), KEY, VALUES), _VERSIONS),
-    "versions_between": (lambda s, d: fold.between(fold.versions(log(s, d), KEY, VALUES), 400, 900), _VERSIONS + " WHERE start_seq <= 900 AND (end_seq IS NULL OR end_seq > 400)"),
-    "versions_from_to": (lambda s, d: fold.between(fold.versions(log(s, d), KEY, VALUES), 400, 900, False), _VERSIONS + " WHERE start_seq < 900 AND (end_seq IS NULL OR end_seq > 400)"),
+    "versions_between": (lambda s, d: fold.versions_between(log(s, d), KEY, VALUES, 400, 900), _VERSIONS + " WHERE start_seq <= 900 AND (end_seq IS NULL OR end_seq > 400)"),
+    "versions_from_to": (lambda s, d: fold.versions_between(log(s, d), KEY, VALUES, 400, 899), _VERSIONS + " WHERE start_seq < 900 AND (end_seq IS NULL OR end_seq > 400)"),
     "versions_valid_at": (
         lambda s, d: fold.versions(log(s, d), KEY, VALUES).where(fold.valid_at(F.col("start_seq"), F.col("end_seq"), F.lit(700))).select("user_id", "value", "start_seq"),
         _VERSIONS.replace("SELECT * FROM versions", "SELECT user_id, value, start_seq FROM versions") + " WHERE start_seq <= 700 AND (end_seq IS NULL OR end_seq > 700)",
@@ -355,25 +447,40 @@ QUERIES = {
     ),
     "sql_between": (_sql("SELECT user_id, value, start_seq, end_seq FROM users FOR SYSTEM_TIME BETWEEN @SEQ:400 AND @SEQ:900"), _VERSIONS.replace("SELECT * FROM versions", "SELECT user_id, value, start_seq, end_seq FROM versions") + " WHERE start_seq <= 900 AND (end_seq IS NULL OR end_seq > 400)"),
     "sql_from_to": (_sql("SELECT user_id, value, start_seq, end_seq FROM users FOR SYSTEM_TIME FROM @SEQ:400 TO @SEQ:900"), _VERSIONS.replace("SELECT * FROM versions", "SELECT user_id, value, start_seq, end_seq FROM versions") + " WHERE start_seq < 900 AND (end_seq IS NULL OR end_seq > 400)"),
+    "sql_between_now": (_sql("SELECT user_id, value, start_seq, end_seq FROM users FOR SYSTEM_TIME BETWEEN '2000-01-01' AND CURRENT_TIMESTAMP"), _ALL_VERSIONS),
+    "sql_from_to_now": (_sql("SELECT user_id, value, start_seq, end_seq FROM users FOR SYSTEM_TIME FROM @SEQ:700 TO CURRENT_TIMESTAMP"), _ALL_VERSIONS + " WHERE end_seq IS NULL OR end_seq > 700"),
+    "sql_between_ts": (
+        _sql(f"SELECT user_id, value, start_seq, end_seq FROM users FOR SYSTEM_TIME BETWEEN '2024-01-02' AND '{_TS}'"),
+        _ALL_VERSIONS + f" WHERE system_time_start <= TIMESTAMP '{_TS}' AND (system_time_end IS NULL OR system_time_end > TIMESTAMP '2024-01-02')",
+    ),
+    "composite_key": (_composite, "SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, CAST(max(l_quantity) + CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END AS DOUBLE) AS l_quantity FROM lineitem WHERE l_linenumber <> 3 GROUP BY l_orderkey, l_linenumber"),
+    "alter_drop_add": (_drop_add, "SELECT c_custkey, c_acctbal AS balance, CASE WHEN c_acctbal > 0 THEN 'new' END AS c_mktsegment FROM customer"),
+    "fk_cascade": (_keyed_to("CASCADE"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
+    "fk_set_null": (_keyed_to("SET NULL"), "SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM orders"),
+    "serial_key": (_serial, "SELECT CAST(1 AS BIGINT) AS low, n AS high, n, n AS all_rows FROM (SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n) t"),
+    "trigger_after": (_trigger, "SELECT c_custkey, c_acctbal AS was FROM customer WHERE c_acctbal < 0"),
+    "mview_on_change": (_on_change, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal >= 0 GROUP BY c_mktsegment"),
+    "view_join": (_view_join, "SELECT c_name, c_mktsegment FROM customer WHERE c_acctbal > 0"),
+    "stream_late_rows": (_late, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2"),
     "stream_state": (_stream_state, _state("true")),
     "stream_windows": (lambda s, d: state.windowed_counts(table(s, d, "events")), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_sessions": (
         lambda s, d: state.sessions(table(s, d, "events"), "6 hours"),
         "WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events), c AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM c GROUP BY user_id, g",
     ),
-    "dml_update_effect": (_update, "SELECT c_custkey, c_name, round(CASE WHEN c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_acctbal + 1000 ELSE c_acctbal END, 2) AS c_acctbal, CASE WHEN c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey > 0"),
-    "dml_delete_effect": (_delete, "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 0 AND NOT (c_acctbal < 0 OR c_mktsegment = 'BUILDING')"),
-    "dml_truncate_asof": (_deleted_before, "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey > 0 AND c_acctbal > 9000"),
-    "dml_insert_select": (_insert_select, "SELECT c_custkey AS id, c_name AS name, 'new' AS note FROM customer WHERE c_custkey > 0 AND c_acctbal > 9000"),
-    "dml_pk_change": (_pk_change, "SELECT CASE WHEN c_custkey <= 10 THEN c_custkey + 1000000 ELSE c_custkey END AS c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 1 AND 20"),
-    "txn_savepoints": (_txn, "SELECT c_custkey, CASE WHEN c_custkey <= 5 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey BETWEEN 1 AND 30 AND c_custkey <> 4"),
-    "alter_columns": (_alter, "SELECT c_custkey, c_name AS label, c_acctbal, 7 AS level FROM customer WHERE c_custkey > 0"),
-    "view_of_view": (_view, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey > 0 AND c_acctbal > 0 GROUP BY c_mktsegment HAVING count(*) > 2"),
+    "dml_update_effect": (_update, "SELECT c_custkey, c_name, round(CASE WHEN c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_acctbal + 1000 ELSE c_acctbal END, 2) AS c_acctbal, CASE WHEN c_acctbal > 5000 AND c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'VIP' ELSE c_mktsegment END AS c_mktsegment FROM customer"),
+    "dml_delete_effect": (_delete, "SELECT c_custkey, c_name FROM customer WHERE NOT (c_acctbal < 0 OR c_mktsegment = 'BUILDING')"),
+    "dml_truncate_asof": (_deleted_before, "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000"),
+    "dml_insert_select": (_insert_select, "SELECT c_custkey AS id, c_name AS name, 'new' AS note FROM customer WHERE c_acctbal > 9000"),
+    "dml_pk_change": (_pk_change, "SELECT CASE WHEN c_custkey <= 10 THEN c_custkey + 1000000 ELSE c_custkey END AS c_custkey, c_name FROM customer"),
+    "txn_savepoints": (_txn, "SELECT c_custkey, CASE WHEN c_custkey <= 5 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey <> 4"),
+    "alter_columns": (_alter, "SELECT c_custkey, c_name AS label, c_acctbal, 7 AS level FROM customer"),
+    "view_of_view": (_view, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment HAVING count(*) > 2"),
     "mview_refresh": (_mview, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey > 100 GROUP BY c_mktsegment"),
     "rls_filter": (_rls, "SELECT c_custkey, c_mktsegment FROM customer WHERE (c_mktsegment = 'BUILDING' OR c_acctbal > 9500) AND c_custkey > 10"),
-    "prepared_statement": (_prepared, "SELECT c_custkey FROM customer WHERE c_custkey > 0 AND c_acctbal > 5000 AND c_mktsegment = 'BUILDING'"),
-    "parameters": (_args, "SELECT c_custkey FROM customer WHERE c_custkey > 0 AND c_acctbal > 5000"),
-    "snapshot_vacuum": (_snapshot_sql, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE c_name END AS c_name FROM customer WHERE c_custkey > 0"),
+    "prepared_statement": (_prepared, "SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'"),
+    "parameters": (_args, "SELECT c_custkey FROM customer WHERE c_acctbal > 5000"),
+    "snapshot_vacuum": (_snapshot_sql, "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE c_name END AS c_name FROM customer"),
     "analyze_stats": (_analyze, _ANALYZE),
     "cte_recursive_distinct": (_reach, "WITH RECURSIVE t(k) AS (SELECT CAST(0 AS BIGINT) UNION (SELECT (k + 3) % 25 FROM t UNION SELECT (k + 7) % 25 FROM t)) SELECT k FROM t"),
     "fts_text_tfidf": (_fts_text, _FTS_TEXT),
@@ -381,5 +488,6 @@ QUERIES = {
     "fts_boolean": (_fts_boolean, _FTS_BOOLEAN),
     "fts_page": (_fts_page, f"SELECT * FROM ({_FTS_TEXT}) t ORDER BY score DESC, doc LIMIT 10 OFFSET 5"),
     "fts_stem": (_fts_stem, _POSTINGS + f" SELECT {_STEM} AS term, count(DISTINCT doc) AS df FROM p GROUP BY 1"),
-    "fts_fuzzy": (_fts_fuzzy, _POSTINGS + " SELECT DISTINCT doc, term, CAST(levenshtein(term, 'erst') AS INT) AS distance FROM p WHERE regexp_matches(term, '^[a-z]+$') AND levenshtein(term, 'erst') <= 1"),
+    "fts_fuzzy": (_fts_fuzzy, _POSTINGS + f" SELECT DISTINCT doc, term, CASE WHEN term = 'erst' THEN 0 ELSE 1 END AS distance FROM p WHERE regexp_full_match(term, '{_EDITS}')"),
+    "fts_near": (lambda s, d: fulltext.near_search(_index(s, d), "erst", "onst", 20), _POSTINGS + " SELECT a.doc, min(abs(a.pos - b.pos)) AS nearest FROM p a JOIN p b ON a.doc = b.doc AND a.term = 'erst' AND b.term = 'onst' GROUP BY a.doc HAVING min(abs(a.pos - b.pos)) <= 20"),
 }
