@@ -25,7 +25,7 @@ BANDS, ROWS, BITS = 32, 5, 4
 #: Standard deviations of the estimate that a pair may lie under the threshold and still be confirmed on its sets.
 SLACK = 5.0
 #: Bytes of shingle hashes in one block of a group.
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 #: Rounds of new pivots (and one of pairs) for members of large groups that their pivot is not linked with.
 ROUNDS = 3
 _KEYS = ("pivot", "i", "j")
@@ -165,8 +165,13 @@ class Group:
                     label[label == label[y]] = label[x]
 
 
-def _links(work: DataFrame, text: DataFrame, single: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (u, v) found in blocks. work: pivot, i and j name a block; id, comp, side and head are as `Group` has them."""
+def _tasks(work: DataFrame) -> DataFrame:
+    """(id, tasks) from work: pivot, i and j name a block; id, comp, side and head are as `Group` has them."""
+    return work.groupBy("id").agg(F.collect_list(F.struct(*_KEYS, "comp", "side", "head")).alias("tasks"))
+
+
+def _links(full: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (u, v) found in blocks, from (id, th, text, sig, tasks)."""
 
     @rested
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +201,7 @@ def _links(work: DataFrame, text: DataFrame, single: DataFrame, shingle: int, pe
         if held:
             yield from done()
 
-    columns = [*_KEYS, "comp", "side", "head"]
-    own = work.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("tasks")).join(single.select("id", "th", "sig"), "id")
-    full = text.join(own, ["id", "th"]).select("id", "th", "text", "sig", F.explode("tasks").alias("t")).select("id", "th", "text", "sig", "t.*")
+    full = full.select("id", "th", "text", "sig", F.explode("tasks").alias("t")).select("id", "th", "text", "sig", "t.*")
     return full.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "side", "id").mapInArrow(run, "u long, v long")
 
 
@@ -218,7 +221,9 @@ def _all_links(members: DataFrame, text: DataFrame, single: DataFrame, shingle:
     size = F.ceil(F.sum("n") * 8 / BLOCK).cast("long")
     large = written(members.groupBy("pivot").agg(size.alias("nb")).where("nb > 1"), "sizes")
     start = members.join(large, "pivot", "left").select("id", "pivot", F.col("id").alias("comp"), F.coalesce("nb", F.lit(1).cast("long")).alias("nb"))
-    roots = connected(_links(_around(start, "pivot"), text, single, shingle, percent))
+    own = _tasks(_around(start, "pivot")).join(single.select("id", "th", "sig"), "id")
+    grouped = written(text.join(own, ["id", "th"]), "grouped")  # whole texts are dealt out once; later rounds need these alone
+    roots = connected(_links(grouped, shingle, percent))
     wide = None if large.isEmpty() else written(members.join(large, "pivot"), "large")
     for k in range(ROUNDS if wide else 0):
         state = wide.join(roots.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -236,7 +241,7 @@ def _all_links(members: DataFrame, text: DataFrame, single: DataFrame, shingle:
             columns = lambda i, j, side: ["pivot", "id", "comp", i.alias("i"), j.alias("j"), F.lit(side).cast("long").alias("side"), F.lit(False).alias("head")]
             left = rest.join(nr, "pivot").select(*columns(own("nr"), every("nb"), 0))
             work = left.union(state.join(nr, "pivot").select(*columns(every("nr"), own("nb"), 1)))
-        roots = connected(roots.toDF("u", "v").union(_links(work, text, single, shingle, percent)))
+        roots = connected(roots.toDF("u", "v").union(_links(grouped.drop("tasks").join(_tasks(work), "id"), shingle, percent)))
     return roots
 
 
