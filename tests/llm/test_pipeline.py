@@ -79,3 +79,34 @@ def test_repeated_rows_and_nulls(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, th string")
     got = sorted(((r.doc_id or 0, r.text) for r in neardup.keep_first(docs).collect()))
     assert got == [(0, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words of this row")]
+
+
+def test_every_stage_takes_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns named like those that stages make."""
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    prose = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    long = " ".join([prose[0][1], *(word() for _ in range(300_000))])
+    rows = [*prose, (9001, None), (9002, ""), (9003, " \n"), (9004, long), (9004, long), (None, prose[1][1]), (None, None), (9005, "x" * 1_500_000)]
+    extra = ["selected", "n_removed", "copies", "tail_probability", "id", "th", "sig", "key", "node", "component"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(i, t, None, None, None, *([f"own {k}"] * len(extra))) for k, (i, t) in enumerate(rows)], schema).repartition(4)
+    docs.cache()
+    mine = {(x.doc_id, x.selected) for x in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF).collect()
+        assert list(got[0].asDict()) == docs.columns
+        assert {(x.doc_id, x.selected) for x in got} <= mine and all(x[c] == x.selected for x in got for c in extra), name
+        kept = {x.doc_id for x in got}
+        if name == "minhash_near_dedup":
+            assert sum(x.doc_id == 9004 for x in got) == 1 and {None, 9001, 9002, 9003, 9005} <= kept
+        if name == "suffix_array_dedup":  # copies of the long text, and the x that repeat themselves, go whole
+            assert not {9004, 9005} & kept and {9001, 9002, 9003} <= kept
+        if name == "benchmark_decontamination":
+            assert {None, 9001, 9002, 9003, 9004, 9005} <= kept
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).groupBy("doc_id").sum("length").collect()
+    sizes = {x.doc_id: x[1] for x in pieces}
+    assert sizes[9001] == sizes[9002] == sizes[9003] == 1 and set(sizes) == {i for i, _ in rows}
+    docs.unpersist()
