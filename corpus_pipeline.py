@@ -10,10 +10,17 @@ from palimpsest.llm.common import written
 from palimpsest.llm.queries import table, word_bpe
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """docs with columns of these names under other ones, as a stage makes columns of that name; and all as they were."""
+    own = {n: f"__own_{n}" for n in names if n in docs.columns}
+    return docs.withColumnsRenamed(own), [F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is likelier than not the better one; blank texts go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality")
-    return quality.graded(docs, model, at_least=1).where("selected").select(docs.columns)
+    docs, columns = _aside(docs, ("expected_grade", "tail_probability", "selected"))
+    return quality.graded(docs, model, at_least=1).where("selected").select(columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +31,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 200 bytes that start elsewhere too. A character that a cut splits goes as a whole,
     n_chars is counted anew, and texts of which no word is left go."""
+    docs, columns = _aside(docs, ("n_bytes", "n_removed", "n_spans"))
     cut = repeats.remove_repeats(docs, 200, whole_characters=True).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'").select(docs.columns)
+    return cut.where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'").select(columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
