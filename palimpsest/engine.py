@@ -175,6 +175,7 @@ class Engine:
         self.triggers: list[Trigger] = []
         self.changed: DataFrame | None = None  # rows that fired the trigger whose statement runs
         self.history: list[dict] = []  # statements, newest last
+        self.results: dict[tuple, tuple[float, str]] = {}  # of `cached`, the one used last at the end
         self.procedures: dict[str, Callable | str] = {}
         self.prepared: dict[str, str] = {}
         self.views: dict[str, dict] = {}
@@ -755,6 +756,24 @@ class Engine:
             for v in views:
                 self.spark.catalog.dropTempView(v)
 
+    def cached(self, sql: str, ttl_s: float = 300, most: int = 100) -> DataFrame:
+        """A query's rows, kept for the next time as files: as long as no table has changed, for `ttl_s` seconds, for the
+        `most` queries used last. Nothing is kept in a transaction, nor where a point in time is named."""
+        if self.txn or re.search(r"\bSYSTEM_TIME\b|\bcurrent_timestamp\b|\bnow\s*\(|\brand\s*\(", sql, re.I):
+            return self.query(sql)
+        state = {n: self.store(n).meta["next"] for n in self.tables()} | {n: v["at"] or v["sql"] for n, v in self.views.items()}
+        key = (sql, self.user, json.dumps(state, sort_keys=True))
+        held = self.results.pop(key, None)
+        if held is None or time.time() - held[0] > ttl_s:
+            if held:
+                self.files.delete(held[1])
+            held = (time.time(), f"{self.root}/results/{uuid.uuid4().hex}")
+            self.query(sql).write.parquet(held[1])
+        self.results[key] = held
+        while len(self.results) > most:
+            self.files.delete(self.results.pop(next(iter(self.results)))[1])
+        return self.spark.read.parquet(held[1])
+
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
         """One statement; commands return one row with a message."""
         text = text.strip().rstrip(";")
@@ -779,8 +798,26 @@ class Engine:
     def ingest_jsonl(self, name: str, path: str) -> int:
         return self.insert(name, read_jsonl(self.spark, path, self.table(name).schema))
 
+    def create_procedure(self, name: str, parameters: str, body: str, replace: bool = False) -> None:
+        """A procedure of SQL that outlives the process (see plans/procedures.py)."""
+        from .plans import procedures
+
+        at = f"{self.root}/procedures/{name}.json"
+        if self.files.exists(at) and not replace:
+            raise EngineError(f"procedure exists: {name}")
+        procedures.parse(body), procedures.parameters(parameters)
+        self.files.write(at, json.dumps({"parameters": parameters, "body": body}))
+
     def call(self, name: str, *args: Any) -> Any:
-        """A stored procedure: a Python callable (engine, *args), or a script whose $1, $2, ... are literals."""
+        """A stored procedure: one of SQL, a Python callable (engine, *args), or a script whose $1, $2, ... are literals."""
+        from .plans import procedures
+
+        at = f"{self.root}/procedures/{name}.json"
+        if name not in self.procedures and self.files.exists(at):
+            made = json.loads(self.files.read(at))
+            return procedures.run(self, procedures.Procedure(procedures.parameters(made["parameters"]), procedures.parse(made["body"])), args)
+        if name not in self.procedures:
+            raise EngineError(f"no procedure {name}")
         p = self.procedures[name]
         if callable(p):
             return p(self, *args)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +60,23 @@ def tagged(spark: SparkSession, tag: str, action, *args):
 
 def cancel(spark: SparkSession, tag: str) -> None:
     spark.interruptTag(tag)
+
+
+def limited(spark: SparkSession, seconds: float, action, *args):
+    """Runs an action whose jobs end after so many seconds, with a TimeoutError."""
+    tag, late = f"limit-{uuid.uuid4().hex}", threading.Event()
+
+    def end() -> None:
+        late.set()
+        cancel(spark, tag)
+
+    timer = threading.Timer(seconds, end)
+    timer.start()
+    try:
+        return tagged(spark, tag, action, *args)
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no result within {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()

@@ -69,3 +69,19 @@ def suggest_indexes(df: DataFrame, least: float = 0.1) -> DataFrame:
     """column_name, distinct_share: columns whose values are distinct enough that sorting or bloom filters pay."""
     share = F.col("distinct_count") / F.greatest(F.col("row_count"), F.lit(1))
     return analyze(df).withColumn("distinct_share", share).where(F.col("distinct_share") >= least).select("column_name", "distinct_share")
+
+
+class Bloom:
+    """A Bloom filter of a column's values, built where they are and merged on the way; of integers or strings. Scalable:
+    `more` merges another one of the same size."""
+
+    def __init__(self, df: DataFrame, column: str, expected: int, rate: float = 0.01):
+        self.filter = df._jdf.stat().bloomFilter(column, expected, rate)
+
+    def may_contain(self, value) -> bool:
+        """False means that the value is not there for certain."""
+        return self.filter.mightContain(value)
+
+    def more(self, other: Bloom) -> Bloom:
+        self.filter.mergeInPlace(other.filter)
+        return self

@@ -308,3 +308,69 @@ def test_late_rows_and_a_restart(spark, tmp_path):
     state.windowed_stream(spark, f"{d}/in", schema, f"{d}/out", f"{d}/check", batches)
     got = {(r.window_start.hour, r.event_type): r.n for r in spark.read.parquet(f"{d}/out").collect()}
     assert got == {(1, "a"): 1, (2, "b"): 1, (3, "a"): 2}
+
+
+def test_migrations(spark, engine):
+    from palimpsest.operators.migrations import MigrationError, Migrations
+
+    def known(second="ALTER TABLE t ADD COLUMN v INT DEFAULT 3"):
+        m = Migrations(engine)
+        m.add(2, "value", [second], ["ALTER TABLE t DROP COLUMN v"])
+        m.add(1, "table", ["CREATE TABLE t (id BIGINT PRIMARY KEY)", "INSERT INTO t VALUES (1)"], ["DROP TABLE t"])
+        return m
+
+    m = known()
+    assert len(m.apply(dry_run=True)) == 3 and engine.tables() == []
+    assert len(m.apply(to=1)) == 2 and [x.version for x in m.pending()] == [2]
+    m.apply()
+    assert rows(engine.sql("SELECT id, v FROM t")) == [(1, 3)] and m.apply() == []
+    with pytest.raises(MigrationError, match="changed"):
+        known("ALTER TABLE t ADD COLUMN v BIGINT").apply()
+    late = known()
+    late.add(0, "late", ["CREATE TABLE u (id BIGINT PRIMARY KEY)"])
+    with pytest.raises(MigrationError, match="before"):
+        late.apply()
+    m.rollback(1)
+    assert engine.table("t").schema.names == ["id"] and [d["version"] for d in m.applied()] == [1]
+    m.rollback(0)
+    assert engine.tables() == []
+
+
+def test_procedures_of_sql(spark, engine):
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, v INT)")
+    engine.sql("""CREATE PROCEDURE fill(IN n INT, OUT total INT) AS BEGIN
+        DECLARE i INT DEFAULT 0;
+        WHILE $i < $n DO
+            IF $i % 2 = 0 THEN INSERT INTO t VALUES ($i, $i * 10);
+            ELSEIF $i = 1 THEN INSERT INTO t VALUES ($i, -1);
+            ELSE SET i = $i; END IF;
+            SET i = $i + 1;
+        END WHILE;
+        SET total = (SELECT CAST(sum(CASE WHEN v > 0 THEN v ELSE 0 END) AS INT) FROM t);
+    END""")
+    other = Engine(spark, engine.root)
+    assert other.sql("CALL fill(4)").first().total == 20
+    assert rows(other.sql("SELECT * FROM t")) == [(0, 0), (1, -1), (2, 20)]
+    other.sql("CREATE PROCEDURE sign(IN x INT) AS BEGIN IF $x < 0 THEN RETURN 'minus; or so'; END IF; RETURN 'plus'; END")
+    assert [other.call("sign", x) for x in (-1, 1)] == ["minus; or so", "plus"]
+    with pytest.raises(EngineError):
+        other.call("nothing")
+
+
+def test_functions_cache_limits_and_filters(spark, engine):
+    from palimpsest.operators import audit
+    from palimpsest.operators.stats import Bloom
+
+    engine.sql("CREATE TABLE t (id BIGINT PRIMARY KEY)")
+    engine.sql("INSERT INTO t VALUES (1), (2)")
+    engine.sql("CREATE FUNCTION twice(x BIGINT) RETURNS BIGINT RETURN x * 2")
+    assert rows(engine.sql("SELECT twice(id) FROM t")) == [(2,), (4,)]
+    first = engine.cached("SELECT count(*) AS n FROM t")
+    assert first.first().n == 2 and engine.cached("SELECT count(*) AS n FROM t").inputFiles() == first.inputFiles()
+    engine.sql("INSERT INTO t VALUES (3)")
+    assert engine.cached("SELECT count(*) AS n FROM t").first().n == 3
+    engine.cached("SELECT 1 AS one", most=1)
+    assert len(engine.results) == 1 and len(engine.files.names(f"{engine.root}/results")) == 1
+    assert audit.limited(spark, 30, lambda: spark.range(10).count()) == 10
+    b = Bloom(spark.range(0, 1000, 2), "id", 1000).more(Bloom(spark.range(5000, 5010), "id", 1000))
+    assert all(b.may_contain(k) for k in range(0, 1000, 2)) and b.may_contain(5003) and sum(b.may_contain(k) for k in range(1, 1000, 2)) < 50
