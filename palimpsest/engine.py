@@ -22,6 +22,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .operators import fold as folds
 from .operators.policies import Policies
+from .operators.snapshots import SnapshotPolicy
 from .operators.stats import analyze, explain
 from .plans.literals import bind
 from .plans.temporal_sql import Clause, point, rewrite, statements
@@ -326,6 +327,16 @@ class Engine:
         t.store.save(t.store.meta | {"next": (last or 0) + 1, "log": [path]})
         return t
 
+    def branch(self, name: str, to: str, seq: int | None = None) -> Table:
+        """A new table with the history of another up to seq (None: all that is committed) and its constraints; the two go
+        on apart. Serial columns draw from the same sequence, so their values stay distinct."""
+        t = self.table(name)
+        last = t.last_seq() if seq is None else min(max(seq, 0), t.last_seq())
+        made = self.import_log(to, t.store.log().where(F.col("seq") <= F.lit(last)), t.key)
+        own = made.store.meta
+        made.store.save({k: v for k, v in t.store.meta.items() if k not in own} | own | {"next": last + 1})
+        return made
+
     def drop_table(self, name: str, missing_ok: bool = False) -> None:
         if not self.store(name).exists():
             if missing_ok:
@@ -602,6 +613,15 @@ class Engine:
         t = self.table(name)
         return t.last_seq() - max(t.store.snapshots(), default=0) >= writes
 
+    def snapshot_by(self, name: str, policy: SnapshotPolicy | None = None) -> int | None:
+        """Takes a snapshot if the policy says that one is due; its number, or None. Time counts from the last snapshot, or
+        from the first commit where there is none."""
+        t = self.table(name)
+        last, first = max(t.store.snapshots(), default=0), t.store.paths()[:1]
+        since = [f"{t.store.path}/snapshots/{last}"] if last else first
+        due = since and (policy or SnapshotPolicy()).due(t.last_seq() - last, self.files.age(since[0]))
+        return self.snapshot(name) if due else None
+
     def compact(self, name: str, retain_after: int | None = None) -> None:
         """Rewrites the log; history up to retain_after (all, if None) becomes one INSERT for each live row."""
         t = self.table(name)
@@ -795,6 +815,10 @@ class Engine:
     def script(self, text: str) -> list[DataFrame]:
         return [self.sql(s) for s in statements(text)]
 
+    def run_file(self, path: str) -> list[DataFrame]:
+        """Statements of a file, one or more a line; a line that begins with `--` is a comment."""
+        return [df for line in self.files.read(path).splitlines() for df in self.script(line)]
+
     def ingest_jsonl(self, name: str, path: str) -> int:
         return self.insert(name, read_jsonl(self.spark, path, self.table(name).schema))
 

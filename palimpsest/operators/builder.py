@@ -50,6 +50,13 @@ class Query:
         """`@seq:N`, `@now` or a timestamp."""
         return replace(self, clause=Clause("as_of", point(text)))
 
+    def between(self, low: str, high: str, inclusive: bool = True) -> Query:
+        """Versions valid at some time from low to high, both written as for `as_of`."""
+        return replace(self, clause=Clause("between" if inclusive else "from_to", point(low), point(high)))
+
+    def all_versions(self) -> Query:
+        return replace(self, clause=Clause("all"))
+
     def df(self) -> DataFrame:
         out = self.engine.relation(self.table, self.clause).alias(self.table)
         for table, on, kind, as_of in self.joins:

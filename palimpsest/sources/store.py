@@ -173,11 +173,15 @@ class Store:
         names = meta.get("physical", {})
         return StructType([StructField(names.get(f.name, f.name), f.dataType) for f in StructType.fromJson(meta["schema"])])
 
+    def paths(self) -> list[str]:
+        """Folders of the commits that count, oldest first."""
+        return [f"{self.path}/{p}" if p.split("/")[0] == "log" else p for p in self.meta["log"]]  # others are attached
+
     def log(self) -> DataFrame:
         """All events; columns that older files lack are null."""
         meta = self.meta
         schema = event_schema(self._files_schema(meta))
-        parts = [f"{self.path}/{p}" if p.split("/")[0] == "log" else p for p in meta["log"]]  # others are attached
+        parts = self.paths()
         if not parts:
             return self._logical(self.spark.createDataFrame([], schema), meta)
         return self._logical(self.spark.read.schema(schema).parquet(*parts), meta)

@@ -1,5 +1,6 @@
 """Search, recursion, streams, statistics, audit and the fluent query."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.engine import Engine
@@ -7,6 +8,7 @@ from palimpsest.functions.text import stem, terms
 from palimpsest.operators import audit, fulltext
 from palimpsest.operators.builder import Query
 from palimpsest.operators.recursive import fixed_point
+from palimpsest.operators.snapshots import SnapshotPolicy
 from palimpsest.operators.stats import analyze, histogram, suggest_indexes
 
 
@@ -73,6 +75,9 @@ def test_audit_and_builder(spark, tmp_path):
     assert [r.id for r in q.where(s="it's").df().collect()] == [2]
     assert [r.id for r in q.order_by("v").select("id").offset(1).df().collect()] == [3, 2]
     assert q.as_of("@seq:3").where("id = 1").df().first().v == 5
+    assert sorted(r.v for r in q.between("@seq:3", "@now").where("id = 1").df().collect()) == [0, 5]
+    assert [r.v for r in q.between("@seq:1", "@seq:4", inclusive=False).where("id = 1").df().collect()] == [5]
+    assert q.all_versions().where("id = 1").df().count() == 2
     assert q.join("u", ["id"], "left").where("w IS NULL").df().count() == 2
     assert q.join("u", "t.id = u.id", "anti").df().count() == 2 and q.join("u", kind="cross").df().count() == 3
     a = audit.Audit(spark, f"{tmp_path}/audit")
@@ -81,3 +86,47 @@ def test_audit_and_builder(spark, tmp_path):
     assert a.entries(user="bob", ok=False).count() == 1 and a.entries(limit=1).count() == 1
     a.export(f"{tmp_path}/out", "csv")
     assert audit.tagged(spark, "x", spark.range(3).count) == 3
+
+
+def test_snapshot_policy(spark, tmp_path):
+    p = SnapshotPolicy()
+    assert not p.due(500_000, 59) and p.due(1, 3600) and not p.due(0, 9999)  # the bounds in time
+    assert p.threshold(0.1) == 1000 and p.threshold(100) == 9000 and p.threshold(1e6) == 100_000
+    assert not p.due(999, 1800) and p.due(1000, 1800)  # a quiet table: the least number of events
+    assert not p.due(9000, 60) and p.due(9000, 91)  # a busy one waits for 1.5 times what a minute brings
+    assert not SnapshotPolicy(adaptive=False).due(99_999, 9999) and SnapshotPolicy(adaptive=False).due(100_000, 0)
+    e = Engine(spark, f"{tmp_path.as_uri()}/e")
+    e.sql("CREATE TABLE t (id INT PRIMARY KEY, v INT)")
+    assert e.snapshot_by("t", SnapshotPolicy(least_s=0, most_s=0)) is None
+    e.sql("INSERT INTO t VALUES (1, 5), (2, 6)")
+    assert e.snapshot_by("t") is None
+    now = SnapshotPolicy(least_s=0, most_s=0)
+    assert e.snapshot_by("t", now) == 2 and e.snapshot_by("t", now) is None and e.table("t").store.snapshots() == [2]
+
+
+def test_branch(spark, tmp_path):
+    e = Engine(spark, f"{tmp_path.as_uri()}/e")
+    e.script("CREATE TABLE t (id INT PRIMARY KEY, v INT CHECK (v > 0), w TEXT); INSERT INTO t VALUES (1, 5, 'a'), (2, 6, 'b')")
+    e.script("ALTER TABLE t RENAME COLUMN w TO name; UPDATE t SET v = 7 WHERE id = 1; DELETE FROM t WHERE id = 2")
+    read = lambda name: sorted(tuple(r) for r in e.table(name).df().collect())
+    e.branch("t", "old", 2), e.branch("t", "same"), e.branch("t", "none", 0)
+    assert read("old") == [(1, 5, "a"), (2, 6, "b")] and read("same") == read("t") == [(1, 7, "a")] and read("none") == []
+    e.script("UPDATE old SET v = 9 WHERE id = 2; INSERT INTO t VALUES (3, 1, 'c'); INSERT INTO none VALUES (4, 1, 'd')")
+    assert read("old") == [(1, 5, "a"), (2, 9, "b")] and read("t") == [(1, 7, "a"), (3, 1, "c")] and read("none") == [(4, 1, "d")]
+    assert sorted(tuple(r) for r in e.table("old").as_of(2).df().collect()) == [(1, 5, "a"), (2, 6, "b")]
+    assert e.table("old").last_seq() == 3 and e.table("none").last_seq() == 1
+    with pytest.raises(Exception, match="v > 0"):
+        e.sql("UPDATE old SET v = -1")
+    with pytest.raises(ValueError, match="exists"):
+        e.branch("t", "old")
+
+
+def test_files_of_statements_and_versioning_text(spark, tmp_path):
+    e = Engine(spark, f"{tmp_path.as_uri()}/e")
+    e.files.write(f"{tmp_path}/in.sql", "-- a table\nCREATE TABLE t (a INT, b VARCHAR(9) NOT NULL, PRIMARY KEY (a, b))\n\nINSERT INTO t VALUES (1, 'x; --y'); SELECT * FROM t;\n")
+    assert [tuple(r) for r in e.run_file(f"{tmp_path}/in.sql")[-1].collect()] == [(1, "x; --y")]
+    text = e.sql("SHOW CREATE TABLE t").first()[0]
+    assert text.endswith(") WITH SYSTEM VERSIONING") and "SYSTEM_TIME_END TIMESTAMP(12) GENERATED ALWAYS AS ROW END" in text
+    e.sql(text.replace("TABLE t", "TABLE u"))
+    t, u = e.table("t"), e.table("u")
+    assert t.schema == u.schema and t.key == u.key == ["a", "b"] and u.store.meta["not_null"] == t.store.meta["not_null"]
