@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..functions.text import BREAKS, LONGEST, SHORTEST, STOP_WORDS, SUFFIXES
 from ..operators import fold, fulltext
+from ..operators.builder import Query
+from ..operators.migrations import Migrations
 from ..operators.policies import Policy
 from ..operators.recursive import fixed_point
 from ..operators.stats import analyze
-from ..sources.store import shared_dir
+from ..sources.store import shared_dir, write_json
 from ..streaming import state
 
 KEY, VALUES = ["user_id"], ["value", "props"]
@@ -388,6 +390,71 @@ def _on_change(spark, d):
     return e.sql("SELECT * FROM totals")
 
 
+def _totals(policy: str):
+    """A materialized view whose table loses rows after it was made; an interval of an hour is not over yet."""
+
+    def made(spark, d):
+        e = _customers(spark, d)
+        e.create_view("totals", "SELECT c_mktsegment, count(*) AS n FROM cust GROUP BY c_mktsegment", True, policy, 3600)
+        e.sql("DELETE FROM cust WHERE c_acctbal < 0")
+        return e.sql("SELECT * FROM totals")
+
+    return made
+
+
+def _branch(spark, d):
+    e = imported(spark, d)
+    e.branch("users", "copy", N)
+    e.sql("UPDATE copy SET value = value + 1 WHERE value > 50")
+    return e.sql("SELECT c.user_id, c.value, u.value AS was FROM copy c JOIN users FOR SYSTEM_TIME AS OF @SEQ:" + str(N) + " u ON c.user_id = u.user_id")
+
+
+def _builder_join(spark, d):
+    e = _customers(spark, d)
+    e.script("CREATE TABLE seg (c_mktsegment VARCHAR(20) PRIMARY KEY, code INT); INSERT INTO seg VALUES ('BUILDING', 1), ('MACHINERY', 2)")
+    return Query(e, "cust").join("seg", ["c_mktsegment"], "left").where("c_acctbal > 0").select("c_custkey", "coalesce(code, 0) AS code").df()
+
+
+def _builder_between(spark, d):
+    q = Query(imported(spark, d), "users").between("@seq:400", "@seq:900")
+    return q.where("value > 50").select("user_id", "value", "start_seq", "end_seq").df()
+
+
+def _json_lines(spark, d):
+    e = _customers(spark, d)
+    path = f"{e.root}/customers.json"
+    write_json(e.table("cust").df(), path)
+    e.sql("CREATE TABLE again (c_custkey BIGINT PRIMARY KEY, c_name TEXT, c_acctbal DOUBLE, c_mktsegment VARCHAR(20))")
+    e.ingest_jsonl("again", path)
+    return e.sql("SELECT c_custkey, c_name, c_acctbal FROM again")
+
+
+def _procedure(spark, d):
+    e = _customers(spark, d)
+    e.sql("""CREATE PROCEDURE raise_by(IN steps INT, IN least DOUBLE, OUT n BIGINT) AS BEGIN
+        DECLARE i INT DEFAULT 0;
+        WHILE $i < $steps DO
+            IF $i % 2 = 0 THEN UPDATE cust SET c_acctbal = c_acctbal + 100 WHERE c_acctbal > $least;
+            ELSE DELETE FROM cust WHERE c_acctbal < 0; END IF;
+            SET i = $i + 1;
+        END WHILE;
+        SET n = (SELECT count(*) FROM cust);
+    END""")
+    e.sql("CALL raise_by(2, 9000)")
+    return e.sql("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM cust")
+
+
+def _migrated(spark, d):
+    e = _customers(spark, d)
+    m = Migrations(e)
+    m.add(1, "level", ["ALTER TABLE cust ADD COLUMN level INT DEFAULT 1"], ["ALTER TABLE cust DROP COLUMN level"])
+    m.add(2, "levels", ["UPDATE cust SET level = 2 WHERE c_acctbal > 5000"], ["UPDATE cust SET level = 1 WHERE c_acctbal > 5000"])
+    m.add(3, "names", ["ALTER TABLE cust RENAME COLUMN c_name TO label"], ["ALTER TABLE cust RENAME COLUMN label TO c_name"])
+    m.apply()
+    m.rollback(2)
+    return e.sql("SELECT c_custkey, c_name, level FROM cust")
+
+
 def _view_join(spark, d):
     e = _customers(spark, d)
     e.sql("CREATE VIEW good AS SELECT c_custkey, c_mktsegment FROM cust WHERE c_acctbal > 0")
@@ -459,6 +526,14 @@ QUERIES = {
     "fk_set_null": (_keyed_to("SET NULL"), "SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN o_custkey END AS o_custkey FROM orders"),
     "serial_key": (_serial, "SELECT CAST(1 AS BIGINT) AS low, n AS high, n, n AS all_rows FROM (SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n) t"),
     "trigger_after": (_trigger, "SELECT c_custkey, c_acctbal AS was FROM customer WHERE c_acctbal < 0"),
+    "mview_on_access": (_totals("on_access"), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal >= 0 GROUP BY c_mktsegment"),
+    "mview_interval": (_totals("interval"), "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"),
+    "branch_state": (_branch, f"SELECT user_id, CASE WHEN value > 50 THEN value + 1 ELSE value END AS value, value AS was FROM ({_state(f'event_id <= {N}')}) t"),
+    "builder_join": (_builder_join, "SELECT c_custkey, CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS INT) AS code FROM customer WHERE c_acctbal > 0"),
+    "builder_between": (_builder_between, _ALL_VERSIONS + " WHERE start_seq <= 900 AND (end_seq IS NULL OR end_seq > 400) AND value > 50"),
+    "json_lines": (_json_lines, "SELECT c_custkey, c_name, c_acctbal FROM customer"),
+    "procedure_effect": (_procedure, "SELECT c_custkey, round(CASE WHEN c_acctbal > 9000 THEN c_acctbal + 100 ELSE c_acctbal END, 2) AS c_acctbal FROM customer WHERE c_acctbal >= 0"),
+    "migrations_effect": (_migrated, "SELECT c_custkey, c_name, CAST(CASE WHEN c_acctbal > 5000 THEN 2 ELSE 1 END AS INT) AS level FROM customer"),
     "mview_on_change": (_on_change, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal >= 0 GROUP BY c_mktsegment"),
     "view_join": (_view_join, "SELECT c_name, c_mktsegment FROM customer WHERE c_acctbal > 0"),
     "stream_late_rows": (_late, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2"),
